@@ -20,7 +20,7 @@ from itertools import combinations, islice, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -114,11 +114,11 @@ def fingerprint_links(fps: DataFrame, scratch: Scratch, radius: int = 2, dense:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed long), component_id for every row.
+    """doc_id, fp (signed long), component_id, group_fp for every row.
 
     Documents link when their fingerprints differ in at most ``radius`` bits;
     component_id is the smallest doc_id reachable (null only if all ids there are
-    null).  Equal fingerprints are one node, so copies are never paired.  Null and
+    null) and group_fp the smallest fingerprint reachable.  Equal fingerprints are one node, so copies are never paired.  Null and
     empty texts have fingerprint 0 and link like others; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
@@ -128,30 +128,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     found = connected_components(links, scratch).filter("node.kind = 0").select(F.col("node.fp").alias("fp"), "component")
     member = unique.join(found, "fp")
     lowest = member.groupBy("component").agg(F.min("first").alias("low"), F.count("*").alias("n")).filter("n > 1")
-    linked = member.join(lowest, "component").select("fp", "low")
-    own = scratch.save(unique.join(linked, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id")))
-    return prints.join(own, "fp").select("doc_id", "fp", "component_id")
+    linked = member.join(lowest, "component").select("fp", "low", F.col("component.fp").alias("group_fp"))
+    low = F.when(F.col("group_fp").isNotNull(), F.col("low")).otherwise(F.col("first"))
+    own = scratch.save(unique.join(linked, "fp", "left").select("fp", low.alias("component_id"), F.coalesce("group_fp", "fp").alias("group_fp")))
+    return prints.join(own, "fp").select("doc_id", "fp", "component_id", "group_fp")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, one row of each group of near-duplicates: its smallest doc_id.
 
-    Of repeated rows with that id one stays.  Without any id in a group, one of its rows stays.
+    If that id has several rows in the group, one of those with the smallest
+    fingerprint stays.  Without any id in a group, one of its rows stays.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
     found = near_duplicates(docs, shingle, radius, id_col, text_col)
-    keys = scratch.save(found.filter("doc_id <=> component_id").groupBy("doc_id", "fp").count())
-    # the smallest fingerprint of those that the smallest doc_id has in a group
-    group = keys.groupBy("doc_id").agg(F.count("*").alias("prints"), F.sum("count").alias("rows"))
-    once = group.filter("prints = 1 and rows = 1 and doc_id is not null").select(F.col("doc_id").alias("_keep"))
-    single = docs.join(once, F.col(id_col) == F.col("_keep"), "left_semi")
-    again = group.filter("prints > 1 or rows > 1 or doc_id is null").select(F.col("doc_id").alias("_keep"))
-    rest = docs.join(again, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    from pyspark.sql import Window
-
-    marked = fingerprint_column(rest, shingle, text_col)
-    comp = found.filter("doc_id <=> component_id").select(F.col("fp").alias("_cfp")).distinct()
-    marked = marked.join(comp, F.col("_fp") == F.col("_cfp"), "left_semi")
+    chosen = found.filter("doc_id <=> component_id").groupBy("group_fp", "doc_id").agg(F.min("fp").alias("_kfp"))
+    rows = found.groupBy("doc_id").count()
+    counted = chosen.join(rows, chosen["doc_id"].eqNullSafe(rows["doc_id"])).select(chosen["doc_id"].alias("_keep"), "_kfp", "count")
+    counted = scratch.save(counted)
+    # an id with one row needs no second look at its text
+    single = docs.join(counted.filter("count = 1 and _keep is not null"), F.col(id_col) == F.col("_keep"), "left_semi")
+    again = counted.filter("count > 1 or _keep is null").select("_keep", "_kfp")
+    rest = docs.join(again.select("_keep").distinct(), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    marked = fingerprint_column(rest, shingle, text_col).join(again, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_fp") == F.col("_kfp")), "left_semi")
     one = Window.partitionBy("_fp", id_col).orderBy(F.xxhash64(text_col))
     picked = marked.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*docs.columns)
     return single.unionByName(picked)

@@ -63,15 +63,31 @@ def noisy_or(probabilities: list[float]) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(probabilities, 1 - 1e-12)).sum())) if probabilities else 0.0
 
 
-def train(texts: list[str], labels: list[int], max_features: int = 50_000, min_docs: int = 4, steps: int = 250, l2: float = 2e-4, seed: int = 0) -> ToxicityModel:
-    """Fit by Adam on the whole sample.  One class only gives a constant model."""
+def association(count: np.ndarray, toxic: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
+    """G statistic of each feature's presence and the label, from document counts."""
+    g = np.zeros(len(count))
+    for seen, rows, cols in ((toxic, count, n_toxic), (count - toxic, count, n - n_toxic), (n_toxic - toxic, n - count, n_toxic), (n - n_toxic - count + toxic, n - count, n - n_toxic)):
+        expected = rows * (cols / n)
+        g += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12)), 0.0)
+    return g
+
+
+def train(texts: list[str], labels: list[int], max_features: int = 20_000, least: float = 8.0, steps: int = 400, l2: float = 0.03) -> ToxicityModel:
+    """Fit by Adam on the whole sample, with the features that go with the label (G of ``least`` or more).
+
+    One class only gives a constant model.
+    """
     bags = [[sorted({f for w in set(WORD.findall(s.lower())) for f in features(w)}) for s in SENTENCE.findall(t or "")] for t in texts]
-    count: dict[str, int] = {}
-    for bag in bags:
+    count: dict[str, list[int]] = {}
+    for bag, label in zip(bags, labels):
         for f in {f for s in bag for f in s}:
-            count[f] = count.get(f, 0) + 1
-    # a feature must be in min_docs documents; the most frequent are kept
-    kept = sorted((f for f, n in count.items() if n >= min_docs), key=lambda f: (-count[f], f))[:max_features]
+            n = count.setdefault(f, [0, 0])
+            n[0] += 1
+            n[1] += label
+    names = sorted(count)
+    seen = np.array([count[f] for f in names], float).reshape(-1, 2)
+    g = association(seen[:, 0], seen[:, 1], len(labels), sum(labels)) if 0 < sum(labels) < len(labels) else np.zeros(len(names))
+    kept = [names[i] for i in np.argsort(-g, kind="stable")[:max_features] if g[i] >= least]
     index = {f: i for i, f in enumerate(kept)}
     ids, sizes, doc_of, y = [], [], [], np.array(labels, float)
     for d, bag in enumerate(bags):
@@ -95,18 +111,18 @@ def train(texts: list[str], labels: list[int], max_features: int = 50_000, min_d
         clean = np.bincount(doc_of, -np.logaddexp(0, z), len(y))  # log of the product of (1 - p)
         whole = np.maximum(-np.expm1(clean), 1e-9)
         g = p * (1 - y[doc_of] / whole[doc_of]) / has.sum()
-        gt = np.bincount(ids, g[sent_of], len(kept)) + l2 * theta / 100
+        gt = np.bincount(ids, g[sent_of], len(kept)) + l2 * theta / len(y)
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gt, 0.999 * v + 0.001 * gt**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
-        rate_t = 0.15 * (1 - 0.9 * t / steps)
+        rate_t = 0.2 * (1 - 0.9 * t / steps)
         theta -= rate_t * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         bias -= rate_t * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
     return ToxicityModel(float(bias), {f: float(w) for f, w in zip(kept, theta) if abs(w) > 1e-3})
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Train on at most ``sample`` labelled documents, a documented bound.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    """Train on at most ``sample`` labelled documents of either label, half of them each.
 
     Only ids whose crc32 (of the id as text) mod 5 is not 0 are used, those with the
     smallest xxhash64 of the id.  Several labels of an id count as toxic if one is;
@@ -114,7 +130,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col:
     """
     key = F.col(id_col).cast("string")
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.crc32(key) % 5 != 0)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    chosen = None
+    for label in (0, 1):
+        some = known.filter(F.col("_y") == label).orderBy(F.xxhash64("_id"), "_id").limit(sample // 2)
+        chosen = some if chosen is None else chosen.union(some)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id").select("_id", "_t", "_y").toPandas()
     rows = rows.drop_duplicates("_id").sort_values("_id")
     return train(list(rows["_t"]), list(rows["_y"]))
