@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,16 @@ WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
 
 
-def features(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
+#: Features are hashed to this many numbers, so that counts need no dictionary of words.
+BUCKETS = 1 << 22
+
+
+def features(word: str) -> list[int]:
+    return [crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in (word, *(f"{word[:n]}*" for n in STEMS if len(word) > n))]
+
+
+def sentence_features(text: str | None) -> list[list[int]]:
+    return [[f for w in set(WORD.findall(s.lower())) for f in features(w)] for s in SENTENCE.findall(text or "")]
 
 
 @dataclass
@@ -32,7 +41,7 @@ class ToxicityModel:
     """bias and weights: feature -> weight (at most max_features of them)."""
 
     bias: float
-    weights: dict[str, float]
+    weights: dict[int, float]
     _words: dict[str, float] = field(default_factory=dict, repr=False)
 
     def word(self, w: str) -> float:
@@ -77,29 +86,30 @@ def train(texts: list[str], labels: list[int], max_features: int = 20_000, least
 
     One class only gives a constant model.
     """
-    bags = [[sorted({f for w in set(WORD.findall(s.lower())) for f in features(w)}) for s in SENTENCE.findall(t or "")] for t in texts]
-    count: dict[str, list[int]] = {}
-    for bag, label in zip(bags, labels):
-        for f in {f for s in bag for f in s}:
-            n = count.setdefault(f, [0, 0])
-            n[0] += 1
-            n[1] += label
-    names = sorted(count)
-    seen = np.array([count[f] for f in names], float).reshape(-1, 2)
-    g = association(seen[:, 0], seen[:, 1], len(labels), sum(labels)) if 0 < sum(labels) < len(labels) else np.zeros(len(names))
-    kept = [names[i] for i in np.argsort(-g, kind="stable")[:max_features] if g[i] >= least]
-    index = {f: i for i, f in enumerate(kept)}
+    seen, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for text, label in zip(texts, labels):
+        own = np.unique(np.array([f for s in sentence_features(text) for f in s], np.int64))
+        seen[own] += 1
+        toxic[own] += label
+    used = np.flatnonzero(seen)
+    g = association(seen[used].astype(float), toxic[used].astype(float), len(labels), sum(labels)) if 0 < sum(labels) < len(labels) else np.zeros(len(used))
+    kept = used[np.argsort(-g, kind="stable")[:max_features]]
+    kept = kept[: int((g >= least).sum())]
+    index = np.full(BUCKETS, -1, np.int32)
+    index[kept] = np.arange(len(kept))
     ids, sizes, doc_of, y = [], [], [], np.array(labels, float)
-    for d, bag in enumerate(bags):
-        for s in bag:
-            own = [index[f] for f in s if f in index]
-            ids.extend(own)
+    for d, text in enumerate(texts):
+        for s in sentence_features(text):
+            own = index[np.unique(np.array(s, np.int64))]
+            own = own[own >= 0]
+            ids.append(own)
             sizes.append(len(own))
             doc_of.append(d)
+    ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
     rate = float(y.mean()) if len(y) else 0.0
-    if not sizes or rate in (0.0, 1.0) or not ids:
+    if not sizes or rate in (0.0, 1.0) or not len(ids):
         return ToxicityModel(-12.0 if rate < 1 else 12.0, {})
-    ids, sizes, doc_of = np.array(ids), np.array(sizes), np.array(doc_of)
+    sizes, doc_of = np.array(sizes), np.array(doc_of)
     sent_of = np.repeat(np.arange(len(sizes)), sizes)
     theta, bias = np.zeros(len(kept)), -6.0
     m, v, mb, vb = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
@@ -118,7 +128,7 @@ def train(texts: list[str], labels: list[int], max_features: int = 20_000, least
         rate_t = 0.2 * (1 - 0.9 * t / steps)
         theta -= rate_t * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         bias -= rate_t * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return ToxicityModel(float(bias), {f: float(w) for f, w in zip(kept, theta) if abs(w) > 1e-3})
+    return ToxicityModel(float(bias), {int(f): float(w) for f, w in zip(kept, theta) if abs(w) > 1e-3})
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
