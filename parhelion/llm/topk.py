@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PAGE = 64
+PAGE = 256
 FANOUT = 16
 
 
@@ -40,9 +40,36 @@ class MTree:
         self.big = float(self.sq.max(initial=0.0))
         self.lift = np.sqrt(np.maximum(self.big - self.sq, 0.0))
         self.eps = 1e-6 * (1.0 + np.sqrt(self.big))
-        self.exact = float(np.abs(self.x).max(initial=0.0)) < 2**25  # products then fit 64 bits
+        self.top = float(np.abs(self.x).max(initial=0.0))
         rng = np.random.default_rng(seed)
         self.root = self._build(np.arange(len(ids)), None, rng) if len(ids) else None
+        self._settle()
+
+    def _settle(self) -> None:
+        """Put the rows of each leaf next to each other, so that a page is one slice."""
+        order, stack = [], [self.root] if self.root else []
+        at, leaves = 0, []
+        routing = []
+        while stack:
+            page = stack.pop()
+            if page.radii is None:
+                order.append(page.rows)
+                leaves.append((page, at, at + len(page.rows)))
+                at += len(page.rows)
+            else:
+                routing.append(page)
+                stack += page.children
+        if not order:
+            return
+        order = np.concatenate(order)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        for page in routing:
+            page.rows = self.x[page.rows].copy()
+        self.ids, self.vectors, self.x = self.ids[order], self.vectors[order], self.x[order]
+        self.sq = self.lift = None
+        for page, a, b in leaves:
+            page.rows = slice(a, b)
 
     def _between(self, rows: np.ndarray, pivot: int) -> np.ndarray:
         """Distances of rows to a row, in the lifted space."""
@@ -73,7 +100,8 @@ class MTree:
             return []
         qf = q.astype(np.float64)
         base = float(qf @ qf) + self.big
-        exact_q = q if self.exact and float(np.abs(qf).max(initial=0.0)) < 2**25 else None
+        # sums of products below 2**53 are exact in doubles, whose products are fast
+        exact = self.top * float(np.abs(qf).max(initial=0.0)) * len(qf) < 2**53
         best: list[tuple[int, int]] = []  # heap of (score, -id)
         tau = np.inf
         heap, turn = [(0.0, 0, self.root, None)], 0
@@ -82,20 +110,24 @@ class MTree:
             if bound > tau + self.eps:
                 break
             rows, radii = page.rows, page.radii
+            near = None  # entries whose stored distance doesn't rule them out
             if to_pivot is not None and tau < np.inf:
                 reach = np.abs(to_pivot - page.to_parent) - (0 if radii is None else radii)
-                near = np.flatnonzero(reach <= tau + self.eps)  # the others need no distance
-            else:
-                near = np.arange(len(rows))
-            if not len(near):
-                continue
-            rows = rows[near]
+                near = np.flatnonzero(reach <= tau + self.eps)
+                if not len(near):
+                    continue
+                if len(near) == len(reach):
+                    near = None
             if radii is None:
-                if exact_q is not None:
-                    scores = self.vectors[rows] @ q
+                where = np.arange(rows.start, rows.stop) if near is None else rows.start + near
+                if exact:
+                    scores = (self.x[rows] if near is None else self.x[where]) @ qf
+                    if len(best) == k:
+                        good = np.flatnonzero(scores >= best[0][0])
+                        where, scores = where[good], scores[good]
                 else:
-                    scores = [sum(a * b for a, b in zip(map(int, self.vectors[r]), map(int, q))) for r in rows]
-                for s, i in zip(scores, self.ids[rows]):
+                    scores = [sum(a * b for a, b in zip(map(int, self.vectors[r]), map(int, q))) for r in where]
+                for s, i in zip(scores, self.ids[where]):
                     if i == own_id:
                         continue
                     entry = (int(s), -int(i))
@@ -104,9 +136,11 @@ class MTree:
                     elif entry > best[0]:
                         heapq.heapreplace(best, entry)
                 if len(best) == k:
-                    tau = np.sqrt(max(base - 2 * best[0][0], 0.0))
+                    tau = float(np.sqrt(max(base - 2 * best[0][0], 0.0)))
             else:
-                d = np.sqrt(np.maximum(base - 2 * (self.x[rows] @ qf), 0.0))
+                if near is None:
+                    near = np.arange(len(radii))
+                d = np.sqrt(np.maximum(base - 2 * (rows[near] @ qf), 0.0))
                 low = np.maximum(d - radii[near], bound)
                 for j, at, dist in zip(near, low, d):
                     if at <= tau + self.eps:
