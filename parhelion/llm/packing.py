@@ -8,6 +8,8 @@ neighbours on the curve and only the last one of the corpus is padded.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 from parhelion.llm.shared import Scratch, number_rows
 
 DIMENSIONS, BITS, BUCKETS = 3, 10, 2048
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: ASCII marks that the pre-tokenizer keeps apart from letters and digits before them.
+_TAIL = b".,;:!?*#$%&|"
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -50,7 +54,8 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 class Encoder:
     """Token ids of texts, with a bounded memory of blank-separated words.
 
-    The tokenizer drops white space, so a text's ids are those of its words in turn.
+    For tokenizers that lower the text and drop white space: a text's ids are those of
+    its words in turn, and marks that end a word have ids of their own.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -58,24 +63,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = np.array([end_id], "<u4").tobytes()
         rng = np.random.default_rng(7)
         self.hashed = rng.integers(0, BUCKETS, 1 << 17)
         self.projection = rng.choice([-1.0, 1.0], (BUCKETS, DIMENSIONS))
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian 32-bit ids, the end id last."""
-        words = text.encode("utf-8", "surrogatepass").split()
-        try:
-            return b"".join([self.known[w] for w in words]) + self.end
-        except KeyError:
-            pass
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        missing = list({w for w in words if w not in self.known})
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([self.known[w] for w in words]) + self.end
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, the end id last."""
+        # the tokenizer lowers letters one by one, so A-Z may be lowered before; a special token's text may not arise
+        split = [(raw if b"<|" in raw else raw.lower()).split() for raw in (t.encode("utf-8", "surrogatepass") for t in texts)]
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        get = known.get
+        coded = [list(map(get, words)) for words in split]
+        missing = set()
+        for words, ids in zip(split, coded):
+            if None in ids:
+                missing.update([w for w, i in zip(words, ids) if i is None])
+        if missing:
+            marked, need = [], set()
+            for w in missing:
+                core = w.rstrip(_TAIL)
+                if core == w:
+                    need.add(w)
+                else:
+                    marked.append((w, core, w[len(core) :]))
+                    need.add(core)
+                    need.add(marked[-1][2])
+            self.learn([x for x in need if x and x not in known])
+            for w, core, tail in marked:
+                known[w] = get(core, b"") + get(tail, b"")
+        out = []
+        for words, ids in zip(split, coded):
+            if None in ids:
+                ids = [known[w] if i is None else i for w, i in zip(words, ids)]
+            out.append(b"".join(ids) + self.end)
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encode words, those of letters in one text: each ends with its only id that ends a word."""
+        known, plain, others = self.known, [], []
+        for w in words:
+            (plain if w.decode("utf-8", "replace").isalpha() else others).append(w)
+        if plain and len(self.closes):
+            ids = self._encode([b" ".join(plain).decode()])[0]
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(plain):
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(plain, (ends * 4).tolist()):
+                    known[w] = raw[at:end]
+                    at = end
+                plain = []
+        others += plain
+        for w, ids in zip(others, self._encode([w.decode("utf-8", "replace") for w in others])):
+            known[w] = ids.tobytes()
 
     def keys(self, encoded: list[bytes]) -> np.ndarray:
         at = np.empty((len(encoded), DIMENSIONS))
@@ -87,15 +135,21 @@ class Encoder:
         return hilbert_key(grid.astype(np.int64))
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, end_id: int) -> Encoder:
+    """One encoder of a worker, for all its tasks."""
+    return Encoder(path, end_id)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key, n, ids (binary) of every row; a null text is empty and has the end id only."""
 
     def run(batches):
-        coder = Encoder(tokenizer_path, end_id)
+        coder = encoder(tokenizer_path, end_id)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = [coder.ids(t or "") for t in part.column(1).to_pylist()]
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                ids = coder.ids([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(coder.keys(ids)), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "key", "n", "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, key long, n long, ids binary")
