@@ -9,6 +9,7 @@ neighbours on the curve and only the last one of the corpus is padded.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,12 +79,7 @@ class Encoder:
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        get = known.get
-        coded = [list(map(get, words)) for words in split]
-        missing = set()
-        for words, ids in zip(split, coded):
-            if None in ids:
-                missing.update([w for w, i in zip(words, ids) if i is None])
+        missing = set(chain.from_iterable(split)).difference(known)
         if missing:
             marked, need = [], set()
             for w in missing:
@@ -95,14 +91,10 @@ class Encoder:
                     need.add(core)
                     need.add(marked[-1][2])
             self.learn([x for x in need if x and x not in known])
+            get = known.get
             for w, core, tail in marked:
                 known[w] = get(core, b"") + get(tail, b"")
-        out = []
-        for words, ids in zip(split, coded):
-            if None in ids:
-                ids = [known[w] if i is None else i for w, i in zip(words, ids)]
-            out.append(b"".join(ids) + self.end)
-        return out
+        return [b"".join([known[w] for w in words]) + self.end for words in split]
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
