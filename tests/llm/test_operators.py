@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -140,6 +141,20 @@ def test_lines_odd(spark):
     assert sorted(len(r.text) for r in got) == [0, 5, len(long)]
 
 
+def test_near_fingerprints_come_once(spark):
+    rng = random.Random(3)
+    near = {rng.getrandbits(64) for _ in range(40)}
+    for base in list(near):
+        for _ in range(5):
+            near.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))))
+    fps = sorted(x - (1 << 64) if x >> 63 else x for x in near)
+    df = spark.createDataFrame([(x, 10, 10, x) for x in fps], "fp long, low long, high long, owner long")
+    for bits in (0, 1, 3, 6):
+        got = [tuple(r) for r in line_dedup.apart_fingerprints(df, bits, 0.8).collect()]
+        want = [(a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= bits]
+        assert sorted(got) == want
+
+
 # 2 sharding
 @settings(max_examples=40, deadline=None)
 @given(st.integers(1, 3000), st.integers(0, 5))
