@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +49,15 @@ def llsvm_parts(df: DataFrame, alpha: float = 1.0, beta: float = 1.0, label: str
 def smi_objective(df: DataFrame, label: str = "y_pu", score: str = "g") -> DataFrame:
     r = F.col(score)
     return df.agg(F.round(_mean(r * r, label, 0) / 2 - _mean(r, label, 1), 6).alias("pu_smi"))
+
+
+def risk_components(df: DataFrame, prior: float, label: str = "y_pnu", score: str = "g") -> DataFrame:
+    """component, value: the PN, PU and NU parts of the linear PNU risk; null where a needed class is absent."""
+    m = pnu_risks(df, prior, 0.0, label, score)
+    return m.unpivot([], ["pn", "pu", "nu"], "component", "value")
+
+
+def label_calibration(df: DataFrame, prior: float, gamma: float = 10.0, squash: float = 10.0, label: str = "y_pu", score: str = "g") -> DataFrame:
+    """Squared excess of squashed unlabeled scores over 2 * prior - 1; zero without unlabeled rows."""
+    over = F.greatest(squash / math.pi * F.atan(F.col(score)) - (2 * prior - 1), F.lit(0.0))
+    return df.agg(F.round(F.coalesce(gamma * _mean(over * over, label, 0), F.lit(0.0)), 6).alias("calibration"))

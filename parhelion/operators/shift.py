@@ -38,6 +38,19 @@ def domain_assumptions(df: DataFrame, priors: dict[str, float], tolerance: float
     return r.select(F.round("rs", 9).alias("source_rate"), F.round("rt", 9).alias("target_rate"), F.round(cs, 9).alias("source_propensity"), F.round(ct, 9).alias("target_propensity"), F.round(ct - cs, 9).alias("propensity_change"), says.alias("conclusion"))
 
 
+def domain_sensitivity_grid(df: DataFrame, priors: dict[str, float], radius: float = 0.05) -> DataFrame:
+    """Propensities of both domains at each prior, a radius below it and a radius above it: nine rows.
+
+    One aggregate of the rows; the grid is a literal.  A domain without rows gives null propensities.
+    """
+    around = {d: [min(max(p + step, 1e-6), 1 - 1e-6) for step in (-radius, 0.0, radius)] for d, p in priors.items()}
+    rate = lambda d: safe_ratio(F.count_if((F.col("domain") == d) & (F.col("y_pu") == 1)), F.count_if(F.col("domain") == d))
+    points = F.array(*[F.struct(F.lit(s).alias("source_prior"), F.lit(t).alias("target_prior")) for s in around["source"] for t in around["target"]])
+    grid = df.agg(rate("source").alias("rs"), rate("target").alias("rt")).select("rs", "rt", F.inline(points))
+    cs, ct = F.col("rs") / F.col("source_prior"), F.col("rt") / F.col("target_prior")
+    return grid.select(F.round("source_prior", 9).alias("source_prior"), F.round("target_prior", 9).alias("target_prior"), F.round(cs, 9).alias("source_propensity"), F.round(ct, 9).alias("target_propensity"), F.round(ct - cs, 9).alias("propensity_change"))
+
+
 def importance_weights(df: DataFrame, probability: str = "probability", alpha: float = 0.1, clip: float = 1e-6) -> DataFrame:
     """id and weight of the source rows: the bounded relative ratio, mean one."""
     p = F.least(F.greatest(F.col(probability), F.lit(clip)), F.lit(1 - clip))

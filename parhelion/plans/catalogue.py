@@ -40,9 +40,12 @@ def queries() -> dict:
         "upu_risk_squared": lambda spark, d: losses.upu_risk(s(spark, d), PRIOR, "squared"),
         "nnpu_risk": lambda spark, d: losses.nnpu_risk(s(spark, d), PRIOR),
         "pnu_risk": lambda spark, d: losses.pnu_risks(t(spark, d), PRIOR, 0.3),
+        "risk_components": lambda spark, d: losses.risk_components(t(spark, d), PRIOR),
+        "llsvm_calibration": lambda spark, d: losses.label_calibration(s(spark, d), PRIOR),
         "llsvm_objective": lambda spark, d: losses.llsvm_parts(s(spark, d)),
         "pu_smi": lambda spark, d: losses.smi_objective(s(spark, d)),
         "domain_assumptions": lambda spark, d: shift.domain_assumptions(src.domains(spark, d), DOMAIN_PRIORS),
+        "domain_sensitivity_grid": lambda spark, d: shift.domain_sensitivity_grid(src.domains(spark, d), DOMAIN_PRIORS),
         "relative_weights": lambda spark, d: shift.importance_weights(v(spark, d)).select("vec_id", F.round("weight", 6).alias("weight")),
         "importance_weight_stats": lambda spark, d: shift.weight_statistics(shift.importance_weights(s(spark, d))),
         "monitor_windows": lambda spark, d: shift.monitor_windows(src.windows(spark, d)),
@@ -124,6 +127,9 @@ def oracle_sql() -> dict[str, str]:
         "pnu_risk": _TEXT + ", m AS (SELECT avg(g) FILTER (y_pnu = 1) AS p, avg(g) FILTER (y_pnu = -1) AS n, avg(g) FILTER (y_pnu = 0) AS u FROM t) SELECT round(-0.4 * p + 0.6 * n, 6) AS pn, round(-0.4 * p + u, 6) AS pu, round(0.6 * n - u, 6) AS nu, round(0.7 * (-0.4 * p + 0.6 * n) + 0.3 * (-0.4 * p + u), 6) AS mix FROM m",
         "llsvm_objective": _SCORED + "SELECT round(sum(greatest(1 - g, 0) * greatest(1 - g, 0)) FILTER (y_pu = 1), 4) AS hinge, round(sum(exp(-5 * g * g)) FILTER (y_pu = 0), 4) AS hat FROM s",
         "pu_smi": f"{_SCORED} SELECT round({mean.format(0, 'g * g')} / 2 - {mean.format(1, 'g')}, 6) AS pu_smi FROM s",
+        "risk_components": _TEXT + ", m AS (SELECT avg(g) FILTER (y_pnu = 1) AS p, avg(g) FILTER (y_pnu = -1) AS n, avg(g) FILTER (y_pnu = 0) AS u FROM t) SELECT 'pn' AS component, round(-0.4 * p + 0.6 * n, 6) AS value FROM m UNION ALL SELECT 'pu', round(-0.4 * p + u, 6) FROM m UNION ALL SELECT 'nu', round(0.6 * n - u, 6) FROM m",
+        "llsvm_calibration": _SCORED + "SELECT round(10 * avg(power(greatest(10 / pi() * atan(g) + 0.2, 0), 2)) FILTER (y_pu = 0), 6) AS calibration FROM s",
+        "domain_sensitivity_grid": "WITH d AS (SELECT o_orderdate < TIMESTAMP '1998-01-01' AS src, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS y FROM orders), r AS (SELECT CAST(sum(y) FILTER (src) AS DOUBLE) / count(*) FILTER (src) AS rs, CAST(sum(y) FILTER (NOT src) AS DOUBLE) / count(*) FILTER (NOT src) AS rt FROM d), a AS (SELECT CAST(unnest([0.35, 0.4, 0.45]) AS DOUBLE) AS ps), b AS (SELECT CAST(unnest([0.45, 0.5, 0.55]) AS DOUBLE) AS pt) SELECT round(ps, 9) AS source_prior, round(pt, 9) AS target_prior, round(rs / ps, 9) AS source_propensity, round(rt / pt, 9) AS target_propensity, round(rt / pt - rs / ps, 9) AS propensity_change FROM r, a, b",
         "domain_assumptions": "WITH d AS (SELECT o_orderdate < TIMESTAMP '1998-01-01' AS src, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS y FROM orders), r AS (SELECT CAST(sum(y) FILTER (src) AS DOUBLE) / count(*) FILTER (src) AS rs, CAST(sum(y) FILTER (NOT src) AS DOUBLE) / count(*) FILTER (NOT src) AS rt FROM d) SELECT round(rs, 9) AS source_rate, round(rt, 9) AS target_rate, round(rs / CAST(0.4 AS DOUBLE), 9) AS source_propensity, round(rt / CAST(0.5 AS DOUBLE), 9) AS target_propensity, round(rt / CAST(0.5 AS DOUBLE) - rs / CAST(0.4 AS DOUBLE), 9) AS propensity_change, CASE WHEN abs(rt / 0.5 - rs / 0.4) > 0.05 THEN 'both_shift' ELSE 'class_prior_shift' END AS conclusion FROM r",
         "relative_weights": f"{_VECTORS}, w AS (SELECT vec_id, {raw} AS raw FROM v) SELECT vec_id, round(raw / (SELECT avg(raw) FROM w), 6) AS weight FROM w",
         "importance_weight_stats": f"{_SCORED}, q AS (SELECT {raw} AS raw FROM s), w AS (SELECT raw / (SELECT avg(raw) FROM q) AS weight FROM q) SELECT round(min(weight), 6) AS min_weight, {quant}, round(max(weight), 6) AS max_weight, round(avg(weight), 6) AS mean_weight, round(sum(weight) * sum(weight) / sum(weight * weight), 4) AS ess, round(sum(weight) * sum(weight) / sum(weight * weight) / count(*), 6) AS ess_fraction FROM w",
