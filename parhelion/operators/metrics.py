@@ -41,15 +41,36 @@ def scalar_metric(df: DataFrame, name: str, prior: float) -> DataFrame:
     return _counts(df).select(F.round(_metric(name, prior), 9).alias(name))
 
 
+def _running(by: DataFrame, sums: list[str], descending: bool = False, parts: int = 32) -> DataFrame:
+    """by (one row per s) with ``<name>_before``, the sum of each column over the rows before it in the order of s.
+
+    Approximate quantiles cut s into at most ``parts`` ranges; each range is summed in
+    its own tasks and one total per range is added, so no task holds all of s.  The
+    cuts decide where rows go, never a result.  Null comes first and NaN last.
+    """
+    cuts = by.agg(F.percentile_approx("s", [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    cuts = sorted({float(c) for c in cuts if c == c})
+    part = F.lit(0)
+    for c in cuts:
+        part = part + F.coalesce((F.col("s") >= c).cast("int"), F.lit(0))
+    order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    rows = by.withColumn("_part", part)
+    inside = Window.partitionBy("_part").orderBy(order("s")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(order("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = rows.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    whole = whole.select("_part", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in sums])
+    rows = rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_in") for c in sums])
+    joined = rows.join(F.broadcast(whole), "_part")
+    return joined.select(*by.columns, *[(F.col(f"{c}_in") + F.col(f"_{c}")).alias(f"{c}_before") for c in sums])
+
+
 def auc(df: DataFrame, label: str = "y_pu", score: str = "score") -> DataFrame:
     """Mann-Whitney AUC with mid-ranks, from one group per distinct score.
 
-    Groups are ranged over partitions by score first, so the running count needs only
-    one row per distinct score, not per input row.  One class only gives null.
+    One class only gives null.
     """
     by = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("u"))
-    below = F.coalesce(F.sum("u").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by.withColumn("won", F.col("p") * (below + F.col("u") / 2))
+    won = _running(by, ["u"]).withColumn("won", F.col("p") * (F.col("u_before") + F.col("u") / 2))
     return won.agg(F.round(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("u")), 9).alias("pu_auc_roc"))
 
 
@@ -62,8 +83,7 @@ def panel(df: DataFrame, prior: float) -> DataFrame:
 
 def average_precision(df: DataFrame, label: str = "y_true", score: str = "score") -> DataFrame:
     by = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.select("p", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("seen"))
+    run = _running(by, ["p", "n"], descending=True).select("p", (F.col("p_before") + F.col("p")).alias("tp"), (F.col("n_before") + F.col("n")).alias("seen"))
     return run.agg(F.round(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("seen")), F.sum("p")), 9).alias("average_precision"))
 
 

@@ -52,6 +52,19 @@ def test_golden_metrics(spark):
     assert risk([1, 1], [0.5, 0.5], 0.4) == math.inf
 
 
+def test_running_sums_of_many_scores(spark):
+    from parhelion.operators import metrics
+
+    scores = [float(i * 37 % 500) / 7 for i in range(900)] + [None, math.nan, math.inf, -math.inf]
+    by = spark.createDataFrame([(x,) for x in scores], "s double").groupBy("s").count()
+    rank = lambda r: (-math.inf, 0) if r.s is None else (math.inf, 1) if r.s != r.s else (r.s, 0)
+    for down in (False, True):
+        seen = 0
+        for r in sorted(metrics._running(by, ["count"], down).collect(), key=lambda r: (r.s is not None, rank(r)), reverse=down):
+            assert r.count_before == seen
+            seen += r["count"]
+
+
 def test_stream_monitor(spark, tmp_path):
     from parhelion.sources.adapters import windows
     from parhelion.streaming.monitor import stream_windows
