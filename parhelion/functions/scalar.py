@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def sigmoid(z: Column) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))))
+    """1 / (1 + e^-z) without overflow; null of null."""
+    return F.when(z.isNotNull(), 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0)))))
 
 
 def softplus(z: Column) -> Column:

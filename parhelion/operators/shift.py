@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parhelion.functions.scalar import relative_weight, safe_ratio
+from parhelion.functions.scalar import relative_weight, safe_ratio, sigmoid
 
 EPS = 8 * 2.220446049250313e-16
 
@@ -66,6 +66,25 @@ def weight_statistics(w: DataFrame) -> DataFrame:
     return s.select(F.round("a", 6).alias("min_weight"), *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(names)], F.round("z", 6).alias("max_weight"), F.round("m", 6).alias("mean_weight"), F.round("ess", 4).alias("ess"), F.round(F.col("ess") / F.col("n"), 6).alias("ess_fraction"))
 
 
+def calibrate_prior(df: DataFrame, prior: float, probability: str = "probability", rounds: int = 8, ways: int = 32) -> DataFrame:
+    """df with the probabilities' logits shifted (by -30 to 30 at most) so that their mean is ``prior``.
+
+    Each round is one aggregate that tries ``ways`` shifts and narrows the range to
+    1 / (ways + 1), in place of one pass for each halving.  Null probabilities stay
+    null and count in no mean; no rows give no rows.
+    """
+    p = F.least(F.greatest(F.col(probability), F.lit(1e-6)), F.lit(1 - 1e-6))
+    logit = F.when(F.col(probability).isNotNull(), F.ln(p / (1 - p)))
+    low, high = -30.0, 30.0
+    for _ in range(rounds):
+        tried = [low + (high - low) * k / (ways + 1) for k in range(1, ways + 1)]
+        means = df.agg(*[F.avg(sigmoid(logit + x)) for x in tried]).first()
+        below = sum(m is not None and m < prior for m in means)
+        edges = [low, *tried, high]
+        low, high = edges[below], edges[below + 1]
+    return df.withColumn(probability, F.when(F.col(probability).isNotNull(), sigmoid(logit + (low + high) / 2)))
+
+
 def monitor_windows(df: DataFrame, jump: float = 0.05) -> DataFrame:
     """window_id, n, label_rate, label_rate_change (to the window before), level, in order of window_id."""
     by = df.groupBy("window_id").agg(F.count("*").alias("n"), F.avg(F.col("y_pu").cast("double")).alias("rate"))

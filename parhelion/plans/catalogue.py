@@ -46,6 +46,7 @@ def queries() -> dict:
         "pu_smi": lambda spark, d: losses.smi_objective(s(spark, d)),
         "domain_assumptions": lambda spark, d: shift.domain_assumptions(src.domains(spark, d), DOMAIN_PRIORS),
         "domain_sensitivity_grid": lambda spark, d: shift.domain_sensitivity_grid(src.domains(spark, d), DOMAIN_PRIORS),
+        "prior_logit_shift": lambda spark, d: shift.calibrate_prior(v(spark, d), PRIOR).select("vec_id", F.round("probability", 6).alias("probability")),
         "relative_weights": lambda spark, d: shift.importance_weights(v(spark, d)).select("vec_id", F.round("weight", 6).alias("weight")),
         "importance_weight_stats": lambda spark, d: shift.weight_statistics(shift.importance_weights(s(spark, d))),
         "monitor_windows": lambda spark, d: shift.monitor_windows(src.windows(spark, d)),

@@ -65,6 +65,19 @@ def test_running_sums_of_many_scores(spark):
             seen += r["count"]
 
 
+def test_calibrated_prior(spark):
+    from parhelion.operators import shift
+
+    given = [0.0, 0.1, 0.1, 0.5, 0.8, 1.0, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "id int, probability double")
+    for prior in (0.05, 0.4, 0.9):
+        got = [r.probability for r in shift.calibrate_prior(df, prior).orderBy("id").collect()]
+        assert got[6] is None and got[:6] == sorted(got[:6])
+        assert abs(sum(got[:6]) / 6 - prior) < 1e-8
+    assert shift.calibrate_prior(df.limit(0), 0.4).count() == 0
+    assert entry.queries()["prior_logit_shift"](spark, SF).count() == 500
+
+
 def test_stream_monitor(spark, tmp_path):
     from parhelion.sources.adapters import windows
     from parhelion.streaming.monitor import stream_windows
