@@ -141,6 +141,25 @@ def test_lines_odd(spark):
     assert sorted(len(r.text) for r in got) == [0, 5, len(long)]
 
 
+def test_lines_with_edited_words(spark):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(4000)]
+    texts = []
+    for n in [2] * 3 + [5, 8, 10, 13, 20, 30] * 2:
+        line = rng.choices(vocab, k=n)
+        near = list(line)  # a tenth of the words edited, or a letter of a short line
+        for at in rng.sample(range(n), n // 10):
+            near[at] = rng.choice(vocab)
+        near[-1] += "" if n >= 10 else "s"
+        texts += [" ".join(line), " ".join(near)]
+    docs = list(enumerate(texts))
+    want, links = brute_lines(spark, docs, 64, 0.8)
+    narrow, few = brute_lines(spark, docs, 3, 0.8)
+    assert len(few) < len(links) and narrow != want
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs_of(spark, texts), sketched=True).collect()}
+    assert got == want
+
+
 def test_near_fingerprints_come_once(spark):
     rng = random.Random(3)
     near = {rng.getrandbits(64) for _ in range(40)}
