@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 from itertools import chain
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from parhelion.llm.shared import Scratch, number_rows
 
 DIMENSIONS, BITS, BUCKETS = 3, 10, 2048
 CACHE_WORDS = 600_000
-#: ASCII marks that the pre-tokenizer keeps apart from letters and digits before them.
+#: ASCII marks that the pre-tokenizer keeps apart from letters and digits (only) before them.
 _TAIL = b".,;:!?*#$%&|"
 
 
@@ -52,11 +53,16 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def _ends_in_letter_or_digit(word: bytes) -> bool:
+    """Whether the last character is one of \\p{L} and \\p{N}; after any other, marks belong to the same piece."""
+    return category(word.decode("utf-8", "replace")[-1])[0] in "LN"
+
+
 class Encoder:
     """Token ids of texts, with a bounded memory of blank-separated words.
 
     For tokenizers that lower the text and drop white space: a text's ids are those of
-    its words in turn, and marks that end a word have ids of their own.
+    its words in turn, and marks after a word's last letter or digit have ids of their own.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -84,7 +90,7 @@ class Encoder:
             marked, need = [], set()
             for w in missing:
                 core = w.rstrip(_TAIL)
-                if core == w:
+                if core == w or core and not _ends_in_letter_or_digit(core):
                     need.add(w)
                 else:
                     marked.append((w, core, w[len(core) :]))

@@ -11,6 +11,7 @@ from itertools import combinations
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -421,6 +422,21 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs_of(spark, ["a b"] * 3, [None, 1, 1]), path, 2).count() == 6
 
 
+def test_marks_after_quotes_and_brackets():
+    from tokenizers import Tokenizer
+
+    path = corpus_pipeline.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    words = ["(a).", "(foo).", '"a",', '"foo".', "foo),", "f();", 'end";', "don'.", "é.", "x²,", "e\u0301.", "५!", "...", "a.b).", "-?", "ﬁ;", "_,"]
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    texts = [*words, " ".join(words), *[x or "" for x in docs]]
+    coder = packing.Encoder(path, 2)
+    for at in range(0, len(texts), 1024):
+        part = texts[at : at + 1024]
+        want = [np.array([*e.ids, 2], "<u4").tobytes() for e in t.encode_batch_fast(part, add_special_tokens=False)]
+        assert coder.ids(part) == want
+
+
 def test_hilbert_is_a_path():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = packing.hilbert_key(grid, 3)
