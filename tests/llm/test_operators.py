@@ -310,6 +310,35 @@ def test_near_duplicates_odd(spark):
     assert neardup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_similar_documents_brute_force(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(900)]
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["", None, "a b", "A  b", "..."]
+    for n in (8, 12, 30, 100, 300, 600):
+        for _ in range(3):
+            base = rng.choices(vocab, k=n)
+            texts.append(" ".join(base))
+            for edits in (1, max(1, n // 60), max(2, n // 30)):
+                near = list(base)
+                for at in rng.sample(range(n), edits):
+                    near[at] = "new"
+                texts += [" ".join(near), " ".join(near + ["end"])]
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    links = [(a, b) for a, b in combinations(range(len(texts)), 2) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    fp = [brute_simhash(t, 5) for t in texts]
+    assert sum((fp[a] ^ fp[b]).bit_count() > 2 for a, b in links) > 20
+    docs = docs_of(spark, texts)
+    want = set(union_find(links, range(len(texts))).values())
+    kept = corpus_pipeline.keep_one_near_duplicate(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want) and kept.columns == docs.columns
+    again = neardup.keep_one_similar(docs_of(spark, ["a b c"] * 4 + ["d e f"] * 2, [5, 5, 6, None, None, None]))
+    assert sorted((r.doc_id or -1, r.text) for r in again.collect()) == [(-1, "d e f"), (5, "a b c")]
+    assert neardup.keep_one_similar(docs_of(spark, [])).count() == 0
+
+
 # 6 language
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
