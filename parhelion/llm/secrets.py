@@ -1,8 +1,9 @@
 """Secret scanning through nested encodings.
 
-A worklist of layers starts with the text itself.  Every layer is scanned, then its
-encoded tokens (URL escapes, Unicode escapes, base64, and gzip, zlib or zstandard data
-inside base64) are unwrapped into further layers, until none unwraps any more.  A layer
+A worklist of layers starts with the text itself.  Every layer is scanned, then unwrapped
+into further layers, until none unwraps any more: the whole layer with all URL escapes
+or all Unicode escapes replaced in place, and its base64 runs (also over lines that
+follow one another) with gzip, zlib or zstandard data inside.  A layer
 that equals one of those it came out of is not entered again.  Each character of a
 layer knows which characters of the text it came from, so findings are reported as
 spans of the text.
@@ -27,10 +28,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
 
-_TOKEN = re.compile(r"\S+")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([dD][89abAB][0-9a-fA-F]{2})\\u([dD][c-fC-F][0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\u\{([0-9a-fA-F]{1,6})\}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs of base64 on lines that follow one another, each line but the last of one length.
+_WRAPPED = re.compile(r"([A-Za-z0-9+/_-]{16,})((?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+)(={0,2})")
+_BREAK = re.compile(r"\r?\n[\x20\t]*")
 _B64_SHAPE = bytes(98 if chr(i).isascii() and (chr(i).isalnum() or chr(i) in "+/_-") else 32 for i in range(256))
 _HEX_SHAPE = bytes(104 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 #: Bytes that one compressed layer may unpack to; a larger one is an attack and is read up to here.
@@ -146,14 +149,39 @@ def unwrap(layer: str, raw: bytes | None = None) -> list[tuple[str, list[tuple[i
     """Layers found in a layer: text and, for each character, its span in the layer."""
     out = []
     if "%" in layer and _URL.search(layer) or "\\" in layer and _UNICODE.search(layer):
-        for m in _TOKEN.finditer(layer):
-            for pattern, decode in ((_URL, _url), (_UNICODE, _unicode)):
-                got = _unescape(m.group(), m.start(), pattern, decode)
-                if got and got[0] != m.group():
-                    out.append(got)
+        for pattern, decode in ((_URL, _url), (_UNICODE, _unicode)):
+            got = _unescape(layer, 0, pattern, decode)
+            if got and got[0] != layer:
+                out.append(got)
     raw = layer.encode("utf-8", "surrogatepass") if raw is None else raw
     if b"b" * 16 in raw.translate(_B64_SHAPE):
         out += [got for m in _BASE64.finditer(layer) if (got := _base64(m.group(), m.start()))]
+        out += _wrapped(layer)
+    return out
+
+
+def _wrapped(layer: str) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Layers of base64 that goes on over several lines, from each line that is as long as the next."""
+    out = []
+    for m in _WRAPPED.finditer(layer):
+        lines, at = [], m.start()
+        for gap in [*_BREAK.finditer(m.group()), None]:
+            end = m.start() + gap.start() if gap else m.end()
+            lines.append((at, end))
+            at = m.start() + gap.end() if gap else end
+        i = 0
+        while i < len(lines):
+            j, width = i + 1, lines[i][1] - lines[i][0]
+            while j < len(lines) and lines[j][1] - lines[j][0] == width:
+                j += 1
+            if j < len(lines) and lines[j][1] - lines[j][0] < width:
+                j += 1
+            if j > i + 1:
+                where = [k for a, b in lines[i:j] for k in range(a, b)]
+                if got := _base64("".join(layer[a:b] for a, b in lines[i:j]), 0):
+                    out.append((got[0], [(where[a], where[b - 1] + 1) for a, b in got[1]]))
+            # a last line that is shorter may be the first of another run
+            i = j if j == i + 1 or lines[j - 1][1] - lines[j - 1][0] == width else j - 1
     return out
 
 
@@ -169,10 +197,12 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tup
     found = set(base)
     digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
     work = deque((layer, spans, frozenset([digest(text)])) for layer, spans in unwrap(text, raw))
+    seen = set()  # escapes undone in another order give the same layer again
     while work:
         layer, spans, above = work.popleft()
-        if (own := digest(layer)) in above:
+        if (own := digest(layer)) in above or (own, places := hash(tuple(spans))) in seen:
             continue
+        seen.add((own, places))
         for start, kind, end in scan(layer):
             found.add((spans[start][0], kind, max(s[1] for s in spans[start:end])))
         for inner, at in unwrap(layer):
