@@ -113,12 +113,15 @@ def _unpack(data: bytes) -> bytes | None:
     return None
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+def _decoded(data: bytes) -> tuple[str, str, int]:
+    """The bytes as text, their encoding and the bytes of its mark: UTF-16 or UTF-32 by the mark, else UTF-8, else Latin-1."""
+    for mark, name in ((b"\xff\xfe\0\0", "utf-32-le"), (b"\0\0\xfe\xff", "utf-32-be"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"), (b"", "utf-8")):
+        if data.startswith(mark):
+            try:
+                return data[len(mark) :].decode(name), name, len(mark)
+            except UnicodeDecodeError:
+                pass
+    return data.decode("latin-1"), "latin-1", 0
 
 
 def _base64(token: str, at: int) -> tuple[str, list[tuple[int, int]]] | None:
@@ -132,14 +135,14 @@ def _base64(token: str, at: int) -> tuple[str, list[tuple[int, int]]] | None:
     inner, rounds = data, 0
     while (more := _unpack(inner)) is not None and rounds < 64 and more != inner:
         inner, rounds = more, rounds + 1
-    text = _readable(inner)
-    if text is None:
+    text, name, byte = _decoded(inner)
+    if not text:
         return None
     if rounds:  # a compressed byte depends on the whole token
         return text, [(at, at + len(token))] * len(text)
-    spans, byte = [], 0
+    spans = []
     for c in text:
-        n = len(c.encode("utf-8"))
+        n = len(c.encode(name))
         spans.append((at + byte * 4 // 3, at + min(len(token), -(-(byte + n) * 4 // 3))))
         byte += n
     return text, spans
