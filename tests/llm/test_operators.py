@@ -11,6 +11,7 @@ from itertools import combinations
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -484,11 +485,18 @@ def test_marks_after_quotes_and_brackets():
     words = ["(a).", "(foo).", '"a",', '"foo".', "foo),", "f();", 'end";', "don'.", "é.", "x²,", "e\u0301.", "५!", "...", "a.b).", "-?", "ﬁ;", "_,"]
     docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
     texts = [*words, " ".join(words), *[x or "" for x in docs]]
+    rng = random.Random(7)
+    alphabet = "ab\u00e9Zz09.,;:!?'\"()[]{}<>|-_*#$%&@\u00a0\u3000\u0301\u00ad\u200d\u0130\u03a3\u00bd\u00b2\u0967\u0e01\ufb01\t\n\x1c\x85  "
+    texts += ["".join(rng.choices(alphabet, k=rng.randint(1, 14))) for _ in range(30000)] + ["x<|endoftext|>Y <|STARTOFTEXT|> <|startoftext|>."]
     coder = packing.Encoder(path, 2)
     for at in range(0, len(texts), 1024):
         part = texts[at : at + 1024]
-        want = [np.array([*e.ids, 2], "<u4").tobytes() for e in t.encode_batch_fast(part, add_special_tokens=False)]
-        assert coder.ids(part) == want
+        want = [[*e.ids, 2] for e in t.encode_batch_fast(part, add_special_tokens=False)]
+        ids, bounds = coder.ids(pa.array(part, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    coder.words = False
+    ids, bounds = coder.ids(pa.array(words, pa.string()))
+    assert ids[: bounds[1]].tolist() == [*t.encode(words[0], add_special_tokens=False).ids, 2] and len(bounds) == len(words) + 1
 
 
 def test_hilbert_is_a_path():
