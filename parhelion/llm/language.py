@@ -15,11 +15,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")
 BLOCK = 4096  # bytes compressed at a time, so that a long text's own past doesn't stand in for the dictionary
 LEVEL = 3
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (categories L*); numbers such as fractions are not."""
+    return any(m.group().isalpha() for m in _WORD_CHARACTER.finditer(text))
+
+
 class LanguageModel:
     def __init__(self, samples: dict[str, bytes]):
         """samples: the dictionary content of each language."""
@@ -45,7 +50,7 @@ class LanguageModel:
 
     def predict(self, text: str | None, margin: float = 0.01) -> tuple[str, float, bool]:
         """(language, score, rejected); score grows from 0.5 to 1 with the relative margin."""
-        if not text or not _LETTER.search(text) or not self.samples:
+        if not text or not has_letter(text) or not self.samples:
             return "und", 0.0, True
         sizes = self.sizes(text)
         if len(sizes) == 1:
@@ -56,29 +61,33 @@ class LanguageModel:
 
 
 def fit_language(docs: DataFrame, dictionary_bytes: int = 96 << 10, sample: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Dictionaries from about ``sample`` documents a language, at most dictionary_bytes each.
+    """Dictionaries from at most ``sample`` texts a language, at most dictionary_bytes each.
 
-    Both bounds are parameters.  Only rows with a language whose crc32 (of the id as
-    text) mod 3 is not 1 are used, those with the smallest hash of the id; a language
-    with fewer rows gives all it has.  Long texts fill a dictionary with an equal
-    share each, so that it holds many documents.
+    Both bounds are parameters.  Only rows with an id and a language whose crc32 (of the
+    id as text) mod 3 is not 1 are used: of the distinct texts that a dictionary can hold
+    an eighth of, those with the smallest hash, whole and in that order until the dictionary
+    is full.  A language without such texts is not learned.
     """
     key = F.col(id_col).cast("string")
-    rows = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("h"), (F.crc32(F.coalesce(key, F.lit(""))) % 3).alias("m"))
-    rows = rows.filter("l is not null and t is not null and m != 1")
-    counts = rows.groupBy("l").count().collect()
+    rows = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"), (F.crc32(key) % 3 != 1).alias("m"))
+    rows = rows.filter(F.col("l").isNotNull() & F.col("m") & F.octet_length("t").between(8, dictionary_bytes // 8))
+    # of every part the smallest hashes, then those of the whole, so no language meets in one task
+    seen = rows.select("l", "h").distinct()
+    counts = dict(seen.groupBy("l").count().collect())
     near = F.lit(False)
-    for lang, n in counts:
-        near = near | ((F.col("l") == lang) & (F.col("h") < int(min(1.0, 1.2 * sample / n) * (1 << 30)) + 1))
-    share = dictionary_bytes // 40
-    got: dict[str, list[bytes]] = {}
-    for r in sorted(rows.filter(near).select("l", "h", F.substring("t", 1, share).alias("t")).collect(), key=lambda r: (r.l, r.h, r.t)):
-        got.setdefault(r.l, []).append(r.t.encode("utf-8", "surrogatepass"))
+    for lang, n in counts.items():
+        share = min(1.0, 2.0 * sample / n)
+        near = near | ((F.col("l") == lang) & (F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30))))
+    got: dict[str, dict[bytes, None]] = {}
+    for r in sorted(rows.filter(near).groupBy("l", "h").agg(F.min("t").alias("t")).collect(), key=lambda r: (r.l, r.h % (1 << 30), r.t)):
+        got.setdefault(r.l, {})[r.t.encode("utf-8", "surrogatepass")] = None
     samples = {}
     for lang, texts in got.items():
-        data = b"\n".join(dict.fromkeys(texts[:sample]))[:dictionary_bytes]
-        if len(data) >= 8:
-            samples[lang] = data
+        data = b""
+        for text in list(texts)[:sample]:
+            if len(data) + len(text) < dictionary_bytes:
+                data += text + b"\n"
+        samples[lang] = data
     return LanguageModel(samples)
 
 

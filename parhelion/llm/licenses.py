@@ -32,9 +32,14 @@ MORE = {
 }
 TAG = re.compile(r"(?ai:SPDX-License-Identifier):[^\S\n]*([^\n]*)")
 TAG_WORDS = "spdx license identifier"
+#: Families of licences that allow everything but the removal of the notice.
 PERMISSIVE = ("apache", "mit", "bsd", "isc", "cc0", "cc-by", "zlib", "unlicense", "public-domain", "0bsd")
 
-_PART = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+_PART = re.compile(r"\(|\)|/|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+#: A family, then versions and clauses: apache-2.0, bsd-3-clause, mit-0, cc-by-4.0, cc0-1.0.
+_FAMILY = re.compile(r"({})(?:-v?\d[\d.]*(?:\+|-clause|-only|-or-later)?)*".format("|".join(map(re.escape, PERMISSIVE))))
+#: Words beside the base phrase that narrow a Creative Commons licence.
+_NARROW = {b"nc", b"nd", b"sa", b"noncommercial", b"noderivatives", b"noderivs", b"sharealike"}
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -49,8 +54,9 @@ def _automaton():
 def parse_expression(text: str) -> list[str] | None:
     """Reverse Polish form of the longest leading licence expression; None if there is none.
 
-    ``with`` binds before ``and``, and that before ``or``; operators may have any case.
-    Text after a complete expression is ignored, an unclosed bracket makes it invalid.
+    ``with`` binds before ``and``, and that before ``or``; operators may have any case, and a
+    slash is ``or``.  Text after a complete expression is ignored, also an operator that
+    nothing follows; an unclosed bracket makes the whole invalid.
     """
     out: list[str] = []
     stack: list[str] = []
@@ -61,7 +67,7 @@ def parse_expression(text: str) -> list[str] | None:
         if text[last : m.start()].strip():
             break
         last, part = m.end(), m.group()
-        low = part.lower()
+        low = "or" if part == "/" else part.lower()
         if operand:
             if part == "(":
                 stack.append(part)
@@ -86,7 +92,19 @@ def parse_expression(text: str) -> list[str] | None:
             break
         if "(" not in stack:
             done = out + stack[::-1]
-    return done
+    return None if "(" in stack else done
+
+
+def licences(rpn: list[str]) -> set[str]:
+    """The licences of an expression, without operators and exceptions."""
+    stack: list[set[str]] = []
+    for x in rpn:
+        if x in _RANK:
+            right, left = stack.pop(), stack.pop()
+            stack.append(left if x == "with" else left | right)
+        else:
+            stack.append({x})
+    return stack.pop()
 
 
 def evaluate(rpn: list[str], allowed) -> bool:
@@ -102,7 +120,8 @@ def evaluate(rpn: list[str], allowed) -> bool:
 
 
 def permissive(name: str) -> bool:
-    return name.startswith(PERMISSIVE)
+    """Whether an identifier is of a permissive family, whole: cc-by-4.0 is, cc-by-nc-4.0 and mitre are not."""
+    return bool(_FAMILY.fullmatch(name))
 
 
 class Scanner:
@@ -133,8 +152,9 @@ class Scanner:
                 rpn = parse_expression(m.group(1))
                 if rpn:
                     expressions.append(" ".join(rpn))
-                    labels.update(x for x in rpn if x not in _RANK)
-        allowed = [evaluate(e.split(" "), permissive) for e in expressions] or [permissive(x) for x in sorted(labels)]
+                    labels |= licences(rpn)
+        narrow = any(lab == "cc-by" and _NARROW & set(w[p + 2 : p + 5]) for p, lab in places)
+        allowed = [evaluate(e.split(" "), permissive) for e in expressions] or [permissive(x) and not (x == "cc-by" and narrow) for x in sorted(labels)]
         score = 1.0 if expressions else 1 - 0.25 ** len(labels)
         return {"n_words": len(w), "n_base": len(places), "first_word": min((p for p, _ in places), default=None), "last_word": max((p for p, _ in places), default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | labels)), "score": score if labels else 0.0, "permissive": all(allowed) if allowed else None, "expressions": expressions}
 

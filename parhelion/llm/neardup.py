@@ -9,8 +9,7 @@ others and the Hamming distance decides.
 
 Cells with more members than ``dense`` are not paired: their members are linked
 through one-bit variants (two fingerprints within two bits share a variant), which is
-exact and linear in the members; larger radii split such cells by the whole grid place
-first.  Nothing is left out in either way.
+exact and linear in the members.  Nothing is left out in either way.
 
 ``similar_sets`` and ``keep_one_similar`` link documents by the Jaccard similarity of
 their shingles instead, exactly: two sets of similarity s share one of the
@@ -25,7 +24,6 @@ import math
 from itertools import combinations, islice, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,36 +139,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     return prints.join(own, "fp").select("doc_id", "fp", "component_id", "group_fp")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, one row of each group of near-duplicates: its smallest doc_id.
-
-    If that id has several rows in the group, one of those with the smallest
-    fingerprint stays.  Without any id in a group, one of its rows stays.
-    """
-    scratch = Scratch(docs.sparkSession, "keep-one")
-    found = near_duplicates(docs, shingle, radius, id_col, text_col)
-    chosen = found.filter("doc_id <=> component_id").groupBy("group_fp", "doc_id").agg(F.min("fp").alias("_kfp"))
-    rows = found.groupBy("doc_id").count()
-    counted = chosen.join(rows, chosen["doc_id"].eqNullSafe(rows["doc_id"])).select(chosen["doc_id"].alias("_keep"), "_kfp", "count")
-    counted = scratch.save(counted)
-    # an id with one row needs no second look at its text
-    single = docs.join(counted.filter("count = 1 and _keep is not null"), F.col(id_col) == F.col("_keep"), "left_semi")
-    again = counted.filter("count > 1 or _keep is null").select("_keep", "_kfp")
-    rest = docs.join(again.select("_keep").distinct(), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    marked = fingerprint_column(rest, shingle, text_col).join(again, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_fp") == F.col("_kfp")), "left_semi")
-    one = Window.partitionBy("_fp", id_col).orderBy(F.xxhash64(text_col))
-    picked = marked.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*docs.columns)
-    return single.unionByName(picked)
-
-
-def fingerprint_column(docs: DataFrame, shingle: int = 5, text_col: str = "text") -> DataFrame:
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64))
-
-    return docs.withColumn("_fp", fp(F.coalesce(F.col(text_col), F.lit(""))))
-
-
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """Sorted distinct XXH64 of the word shingles as in ``simhash``; no words are one empty shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -243,8 +211,14 @@ def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     counted = prints.select("id", "h", "key").join(found, "key", "left").groupBy(F.coalesce("component", "key").alias("group"), "id", "h").count()
     chosen = counted.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "count")).alias("x"))
     chosen = scratch.save(chosen.select(F.col("x.id").alias("_id"), F.col("x.h").alias("_kh"), F.col("x.count").alias("_c")))
-    marked = docs.withColumn("_h", F.xxhash64(text_col))
-    on = lambda x: marked[id_col].eqNullSafe(x["_id"]) & (marked["_h"] == x["_kh"])
+    # the caller's columns stand in a struct, where no name of ours meets them
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    on = lambda x: marked["id"].eqNullSafe(x["_id"]) & (marked["h"] == x["_kh"])
     one, many = chosen.filter("_c = 1"), chosen.filter("_c > 1")
-    again = marked.join(many, on(many), "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(id_col, "_h").orderBy(F.lit(0)))).filter("_n = 1")
-    return marked.join(one, on(one), "left_semi").select(*docs.columns).unionByName(again.select(*docs.columns))
+    kept = marked.join(one, on(one), "left_semi").select("row")
+    if not many.isEmpty():
+        # written, so that a row's number is the same in both readings
+        again = scratch.save(marked.join(many, on(many), "left_semi")).withColumn("number", F.monotonically_increasing_id())
+        first = again.groupBy("id", "h").agg(F.min("number").alias("number")).select("number")
+        kept = kept.union(again.join(first, "number", "left_semi").select("row"))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -30,7 +30,7 @@ def op3_toxicity(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"))
     out = toxicity.score_documents(docs, model)
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").cast("long").alias("n_offending"), "worst_start", "worst_end")
 
 
@@ -46,7 +46,7 @@ def op5_simhash_near_dedup(spark, sf_dir):
 def op6_language_id(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     out = language.identify(docs, language.fit_language(docs))
-    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 

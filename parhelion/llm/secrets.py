@@ -1,10 +1,10 @@
 """Secret scanning through nested encodings.
 
 A worklist of layers starts with the text itself.  Every layer is scanned, then unwrapped
-into further layers, until none unwraps any more: the whole layer with all URL escapes
-or all Unicode escapes replaced in place, and its base64 runs (also over lines that
-follow one another) with gzip, zlib or zstandard data inside.  A layer
-that equals one of those it came out of is not entered again.  Each character of a
+into further layers, until none unwraps any more: the whole layer with all URL and
+Unicode escapes replaced in place, and its base64 runs (also over lines that follow one
+another) with gzip, zlib or zstandard data inside, to any depth and size.  A layer that
+equals one of those it came out of, or one already seen at the same place, is not entered again.  Each character of a
 layer knows which characters of the text it came from, so findings are reported as
 spans of the text.
 """
@@ -17,6 +17,7 @@ import hashlib
 import re
 import zlib
 from collections import deque
+from itertools import repeat
 
 import pyarrow as pa
 import zstandard
@@ -30,14 +31,14 @@ KINDS = ("assign", "access", "hex")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([dD][89abAB][0-9a-fA-F]{2})\\u([dD][c-fC-F][0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\u\{([0-9a-fA-F]{1,6})\}")
+_ESCAPE = re.compile(f"{_URL.pattern}|{re.sub(r'[(](?![?])', '(?:', _UNICODE.pattern)}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Runs of base64 on lines that follow one another, each line but the last of one length.
 _WRAPPED = re.compile(r"([A-Za-z0-9+/_-]{16,})((?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+)(={0,2})")
 _BREAK = re.compile(r"\r?\n[\x20\t]*")
 _B64_SHAPE = bytes(98 if chr(i).isascii() and (chr(i).isalnum() or chr(i) in "+/_-") else 32 for i in range(256))
 _HEX_SHAPE = bytes(104 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
-#: Bytes that one compressed layer may unpack to; a larger one is an attack and is read up to here.
-UNPACK_BYTES = 64 << 20
+_PIECE = 1 << 14
 
 
 def scan(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]]:
@@ -101,16 +102,31 @@ def _unicode(m: re.Match) -> list[tuple[str, int, int]]:
 
 
 def _unpack(data: bytes) -> bytes | None:
-    """Content of gzip, zlib or zstandard data; None for other bytes."""
-    try:
+    """Content of gzip, zlib or zstandard data, all members and frames; None for other bytes.
+
+    Data that break off or go on with other bytes give what stands before.
+    """
+    out, found = [], False
+    while data:
         if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj(47).decompress(data, UNPACK_BYTES)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                return r.read(UNPACK_BYTES)
-    except (zlib.error, zstandard.ZstdError):
-        pass
-    return None
+            coder, step = zlib.decompressobj(47), zlib.error
+        elif data[:4] == b"\x28\xb5\x2f\xfd":
+            coder, step = zstandard.ZstdDecompressor().decompressobj(), zstandard.ZstdError
+        else:
+            break
+        try:
+            # piece by piece, so that what precedes a fault is kept
+            for at in range(0, len(data), _PIECE):
+                if got := coder.decompress(data[at : at + _PIECE]):
+                    out.append(got)
+                if coder.eof:
+                    break
+        except step:
+            found = found or bool(out)
+            break
+        found = True
+        data = coder.unused_data + data[at + _PIECE :] if coder.eof else b""
+    return b"".join(out) if found else None
 
 
 def _decoded(data: bytes) -> tuple[str, str, int]:
@@ -124,6 +140,30 @@ def _decoded(data: bytes) -> tuple[str, str, int]:
     return data.decode("latin-1"), "latin-1", 0
 
 
+class Whole:
+    """The spans of a layer of n characters each of which stands for the whole of a token."""
+
+    def __init__(self, a: int, b: int, n: int):
+        self.span, self.n = (a, b), n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i):
+        return [self.span] * len(range(self.n)[i]) if isinstance(i, slice) else self.span
+
+    def __iter__(self):
+        return repeat(self.span, self.n)
+
+
+def _mapped(outer, inner):
+    """The spans in the text of a layer whose spans in the layer around are inner."""
+    if isinstance(inner, Whole):
+        a, b = inner.span
+        return Whole(outer[a][0], outer[b - 1][1], inner.n)
+    return Whole(*outer.span, len(inner)) if isinstance(outer, Whole) else [(outer[a][0], outer[b - 1][1]) for a, b in inner]
+
+
 def _base64(token: str, at: int) -> tuple[str, list[tuple[int, int]]] | None:
     body = token.rstrip("=")
     if len(body) % 4 == 1:
@@ -132,14 +172,15 @@ def _base64(token: str, at: int) -> tuple[str, list[tuple[int, int]]] | None:
         data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    inner, rounds = data, 0
-    while (more := _unpack(inner)) is not None and rounds < 64 and more != inner:
+    inner, rounds, seen = data, 0, {data}
+    while (more := _unpack(inner)) is not None and more not in seen:
         inner, rounds = more, rounds + 1
+        seen.add(more)
     text, name, byte = _decoded(inner)
     if not text:
         return None
     if rounds:  # a compressed byte depends on the whole token
-        return text, [(at, at + len(token))] * len(text)
+        return text, Whole(at, at + len(token), len(text))
     spans = []
     for c in text:
         n = len(c.encode(name))
@@ -149,13 +190,16 @@ def _base64(token: str, at: int) -> tuple[str, list[tuple[int, int]]] | None:
 
 
 def unwrap(layer: str, raw: bytes | None = None) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Layers found in a layer: text and, for each character, its span in the layer."""
+    """Layers found in a layer: text and, for each character, its span in the layer.
+
+    URL and Unicode escapes are undone in one step, so their orders do not multiply; what
+    is an escape only after that step is undone in the next layer.
+    """
     out = []
-    if "%" in layer and _URL.search(layer) or "\\" in layer and _UNICODE.search(layer):
-        for pattern, decode in ((_URL, _url), (_UNICODE, _unicode)):
-            got = _unescape(layer, 0, pattern, decode)
-            if got and got[0] != layer:
-                out.append(got)
+    if "%" in layer or "\\" in layer:
+        got = _unescape(layer, 0, _ESCAPE, lambda m: _url(m) if m.group()[0] == "%" else _unicode(_UNICODE.fullmatch(m.group())))
+        if got and got[0] != layer:
+            out.append(got)
     raw = layer.encode("utf-8", "surrogatepass") if raw is None else raw
     if b"b" * 16 in raw.translate(_B64_SHAPE):
         out += [got for m in _BASE64.finditer(layer) if (got := _base64(m.group(), m.start()))]
@@ -182,7 +226,7 @@ def _wrapped(layer: str) -> list[tuple[str, list[tuple[int, int]]]]:
             if j > i + 1:
                 where = [k for a, b in lines[i:j] for k in range(a, b)]
                 if got := _base64("".join(layer[a:b] for a, b in lines[i:j]), 0):
-                    out.append((got[0], [(where[a], where[b - 1] + 1) for a, b in got[1]]))
+                    out.append((got[0], _mapped([(k, k + 1) for k in where], got[1])))
             # a last line that is shorter may be the first of another run
             i = j if j == i + 1 or lines[j - 1][1] - lines[j - 1][0] == width else j - 1
     return out
@@ -203,13 +247,15 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tup
     seen = set()  # escapes undone in another order give the same layer again
     while work:
         layer, spans, above = work.popleft()
-        if (own := digest(layer)) in above or (own, places := hash(tuple(spans))) in seen:
+        own = digest(layer)
+        places = hash((spans.span, spans.n)) if isinstance(spans, Whole) else hash(tuple(spans))
+        if own in above or (own, places) in seen:
             continue
         seen.add((own, places))
         for start, kind, end in scan(layer):
             found.add((spans[start][0], kind, max(s[1] for s in spans[start:end])))
         for inner, at in unwrap(layer):
-            work.append((inner, [(spans[a][0], spans[b - 1][1]) for a, b in at], above | {own}))
+            work.append((inner, _mapped(spans, at), above | {own}))
     return base, sorted(found)
 
 

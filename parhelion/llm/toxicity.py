@@ -131,22 +131,34 @@ def train(texts: list[str], labels: list[int], max_features: int = 20_000, least
     return ToxicityModel(float(bias), {int(f): float(w) for f, w in zip(kept, theta) if abs(w) > 1e-3})
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Train on at most ``sample`` labelled documents of either label, half of them each.
-
-    Only ids whose crc32 (of the id as text) mod 5 is not 0 are used, those with the
-    smallest xxhash64 of the id.  Several labels of an id count as toxic if one is;
-    null ids and labels are left out.  The ids are a bounded broadcast.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    """Train on at most ``sample`` labelled documents of up to ``longest`` characters, half of them of either label.
+
+    Both bounds and train's max_features are parameters, so the training, which is one
+    task, holds bounded data, and the driver gets the weights only.  Only ids whose crc32
+    (of the id as text) mod 5 is not 0 are used, those with the smallest xxhash64 of the
+    id.  Several labels of an id count as toxic if one is, of several texts the smallest
+    is taken; null ids, texts and labels are left out.  The ids are a bounded broadcast.
     """
     key = F.col(id_col).cast("string")
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.crc32(key) % 5 != 0)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
+    short = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.length("_t") <= longest)
+    known = known.join(short.select("_id").distinct(), "_id", "left_semi")
     chosen = None
     for label in (0, 1):
         some = known.filter(F.col("_y") == label).orderBy(F.xxhash64("_id"), "_id").limit(sample // 2)
         chosen = some if chosen is None else chosen.union(some)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id").select("_id", "_t", "_y").toPandas()
-    rows = rows.drop_duplicates("_id").sort_values("_id")
-    return train(list(rows["_t"]), list(rows["_y"]))
+    rows = short.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_t").alias("_t"), F.max("_y").alias("_y"))
+
+    def fit(batches):
+        got = pd.concat([b.to_pandas() for b in batches] or [pd.DataFrame({"_h": [], "_t": [], "_y": []})]).sort_values(["_h", "_t"])
+        model = train(list(got["_t"]), [int(y) for y in got["_y"]])
+        names = [-1, *model.weights]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([model.bias, *model.weights.values()], pa.float64())], names=["feature", "weight"])
+
+    fitted = rows.select(F.xxhash64("_id").alias("_h"), "_t", "_y").coalesce(1).mapInArrow(fit, "feature long, weight double").toArrow()
+    weights = dict(zip(fitted["feature"].to_pylist(), fitted["weight"].to_pylist()))
+    return ToxicityModel(weights.pop(-1, -12.0), weights)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
