@@ -11,27 +11,28 @@ Cells with more members than ``dense`` are not paired: their members are linked
 through one-bit variants (two fingerprints within two bits share a variant), which is
 exact and linear in the members.  Nothing is left out in either way.
 
-``similar_sets`` and ``keep_one_similar`` link documents by the Jaccard similarity of
-their shingles instead, exactly: two sets of similarity s share one of the
-n - ceil(s n) + 1 smallest hashes of each, so documents meet in a cell for each of
-these.  Each is first compared with two others of its cells, then with all of them
-that no component joins yet, by the whole sets.
+``keep_one_similar`` links documents by the Jaccard similarity of their shingles instead,
+since two bits catch few of the similar documents.  Candidates share one of the
+``CELLS`` smallest hashes of their shingles, which two sets of a similarity of 0.8
+miss with a chance of 0.2 ** CELLS; sizes, then SimHashes within ``max_bits`` and then the
+whole sets decide.
 """
 
 from __future__ import annotations
 
-import math
 from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from parhelion.llm.shared import Scratch, connected_components
+from parhelion.llm.shared import Scratch, connected_components, groups_by_heads
 
 _BLOCK = 1 << 16
+#: Smallest shingle hashes that are cells of a document.
+CELLS = 8
 _EVEN = "6148914691236517205L"  # 0x5555555555555555, the even bits
 
 
@@ -139,75 +140,89 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     return prints.join(own, "fp").select("doc_id", "fp", "component_id", "group_fp")
 
 
-def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Sorted distinct XXH64 of the word shingles as in ``simhash``; no words are one empty shingle."""
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """XXH64 of the word shingles as in ``simhash``, repeats included; no words are one empty shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     grams = map(b" ".join, zip(*(islice(words, i, None) for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxh64_intdigest, grams, repeat(42)), np.uint64))
+    return np.fromiter(map(xxh64_intdigest, grams, repeat(42)), np.uint64)
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(shingle_hashes(text, shingle))
+
 
+def _majority(hashes: np.ndarray) -> int:
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        total += np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
-def _sets(rows: DataFrame, shingle: int, similarity: float | None) -> DataFrame:
-    """id, h, key (a hash of the shingle set), n (its size), s: all of it, or with a similarity the prefix that meets every similar set."""
+
+def sketches(rows: DataFrame, shingle: int) -> DataFrame:
+    """id, h, key (a hash of the shingle set), n (its size), fp (SimHash), cells (its smallest hashes) of rows (id, h, text)."""
 
     def run(batches):
         for b in batches:
-            keys, sizes, out = [], [], []
+            keys, sizes, prints, cells = [], [], [], []
             for t in b.column(2).to_pylist():
-                s = shingle_set(t, shingle)
+                hashes = shingle_hashes(t, shingle)
+                s = np.unique(hashes)
                 keys.append(xxh64_intdigest(s.tobytes(), 42))
                 sizes.append(len(s))
-                end = len(s) if similarity is None else len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
-                out.append(s[:end].view(np.int64))
+                prints.append(_majority(hashes))
+                cells.append(s[:CELLS].view(np.int64))
             key = pa.array(np.array(keys, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), key, pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["id", "h", "key", "n", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), key, pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], names=["id", "h", "key", "n", "fp", "cells"])
+
+    return rows.select("id", "h", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h long, key long, n long, fp long, cells array<long>")
+
+
+def whole_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """key, s (the whole shingle set) of rows (text)."""
 
-    return rows.select("id", "h", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h long, key long, n long, s array<long>")
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
+            key = pa.array(np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([key, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "s"])
+
+    return rows.select("text").mapInArrow(run, "key long, s array<long>")
 
 
-def similar_sets(rows: DataFrame, prints: DataFrame, scratch: Scratch, shingle: int, similarity: float) -> DataFrame:
-    """node, component of the keys of prints (from ``_sets`` of rows) linked by a Jaccard similarity of at least ``similarity``."""
-    own = Window.partitionBy("cell").orderBy("key")
-    cells = prints.select("key", "n", F.posexplode("s").alias("at", "cell")).repartition("cell").distinct()
-    one = F.struct("key", "n", "at")
-    cells = cells.withColumns({"_first": F.first(one).over(own), "_last": F.lag(one).over(own), "_n": F.count("*").over(Window.partitionBy("cell"))})
-    crowd = scratch.save(cells.filter("_n > 1").drop("_n"))
-    scratch.release()
+def similar_sets(rows: DataFrame, prints: DataFrame, scratch: Scratch, shingle: int, similarity: float, max_bits: int) -> DataFrame:
+    """node, component of the keys of prints (``sketches`` of rows) linked by a Jaccard similarity of at least ``similarity``."""
     need = f"{similarity / (1 + similarity)!r}D * (na + nb) - 1e-9"
-    # before and behind a shared hash no more can be shared than the shorter side has
-    fits = f"least(ia, ib) + 1 + least(na - ia - 1, nb - ib - 1) >= {need}"
-    ends = crowd.filter("key != _first.key").select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.explode(F.array("_first", "_last")).alias("x"))
-    stars = scratch.save(ends.select(F.col("x.key").alias("a"), "b", F.col("x.n").alias("na"), "nb", F.col("x.at").alias("ia"), "ib").filter(fits).select("a", "b").distinct())
-    places = prints.groupBy("key").agg(F.min("h").alias("h"))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        asked = places.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key").select("h")
-        whole = scratch.save(_sets(rows.join(asked, "h", "left_semi"), shingle, None).dropDuplicates(["key"]).select("key", "n", "s"))
-        sa, sb = (whole.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
-        return scratch.save(pairs.join(sa, "a").join(sb, "b").filter(f"size(array_intersect(sa, sb)) >= {need}").select("a", "b"))
-
-    found = alike(stars)
-    first = scratch.save(connected_components(found, scratch))
-    scratch.release()
-    c = crowd.select("key", "n", "at", "cell").join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
-    c = scratch.save(c.drop("component"))
-    several = c.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("cell")
-    c = c.join(several, "cell")
-    a, b = (c.select("cell", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"i{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
-    left = scratch.save(a.join(b, "cell").filter(f"a < b and ca != cb and {fits}").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    return connected_components(found.union(alike(left)), scratch)
-
-
-def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    keys = prints.select(F.col("key").alias("k"), "h", "n", "fp", "cells")
+
+    def prepare(asked: DataFrame):
+        signs = scratch.save(keys.join(asked, "k").groupBy("k").agg(F.min("h").alias("h"), F.max("n").alias("n"), F.max("fp").alias("fp")))
+        whole = scratch.save(whole_sets(rows.join(signs.select("h"), "h", "left_semi"), shingle).dropDuplicates(["key"]))
+        scratch.release()
+        na, nb = (signs.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("fp").alias(f"f{x}")) for x in "ab")
+        sa, sb = (whole.select(F.col("key").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+
+        def alike(pairs: DataFrame) -> DataFrame:
+            near = pairs.join(na, "a").join(nb, "b").filter(f"least(na, nb) >= {need} and bit_count(fa ^ fb) <= {max_bits}")
+            return scratch.save(near.drop("fa", "fb")).join(sa, "a").join(sb, "b").filter(f"size(array_intersect(sa, sb)) >= {need}").select("a", "b")
+
+        return alike
+
+    return groups_by_heads(keys.select("k", F.explode("cells").alias("cell")), prepare, scratch)
+
+
+def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, one row of each group of similar documents: its smallest doc_id.
 
-    Documents link when the Jaccard similarity of their distinct word shingles is at least
-    ``similarity``; texts without words are alike.  If the smallest id has several rows in
+    Documents link when they share one of their CELLS smallest shingle hashes, their
+    SimHashes differ in at most max_bits and the Jaccard similarity of their distinct word
+    shingles is at least ``similarity``; texts without words are alike.  If the smallest id has several rows in
     the group, one of them stays.  Without any id in a group, one of its rows stays.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    prints = scratch.save(_sets(rows, shingle, similarity))
-    found = similar_sets(rows, prints, scratch, shingle, similarity).withColumnRenamed("node", "key")
+    prints = scratch.save(sketches(rows, shingle))
+    found = similar_sets(rows, prints, scratch, shingle, similarity, max_bits).withColumnRenamed("node", "key")
     counted = prints.select("id", "h", "key").join(found, "key", "left").groupBy(F.coalesce("component", "key").alias("group"), "id", "h").count()
     chosen = counted.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "count")).alias("x"))
     chosen = scratch.save(chosen.select(F.col("x.id").alias("_id"), F.col("x.h").alias("_kh"), F.col("x.count").alias("_c")))

@@ -83,6 +83,36 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         e = after
 
 
+def groups_by_heads(cells: DataFrame, prepare, scratch: Scratch, rounds: int = 2) -> DataFrame:
+    """node, component of things (k, longs) that share cells and are alike.
+
+    In every cell each member is compared with two heads, the smallest and the largest k
+    there.  Members that a head's group has taken leave the cell, and the rest is dealt with
+    again, ``rounds`` times in all.  Cells are aggregated before they are dealt out and
+    joins split hot ones, so the work grows with the members and never with their pairs.
+    What can be lost is a pair both of whose members are unlike the heads of all cells that
+    they share.  ``prepare`` gets the k of all members of shared cells and returns a
+    function from candidate pairs (a, b) to those that are alike.
+    """
+    ends = [F.min("k").alias("lo"), F.max("k").alias("hi")]
+    crowd = scratch.save(cells.join(cells.groupBy("cell").agg(*ends).filter("lo != hi"), "cell").distinct())
+    scratch.release()
+    alike = prepare(crowd.select("k").distinct())
+    own = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c"))
+    groups = None
+    for _ in range(rounds):
+        if groups is not None:
+            rest = crowd.join(own("k"), "k", "left").join(own("lo"), "lo", "left").join(own("hi"), "hi", "left")
+            mine = F.coalesce("k_c", "k")
+            rest = rest.filter((mine != F.coalesce("lo_c", "lo")) & (mine != F.coalesce("hi_c", "hi"))).select("k", "cell")
+            crowd = scratch.save(rest.join(rest.groupBy("cell").agg(*ends).filter("lo != hi"), "cell"))
+        found = scratch.save(alike(crowd.select(F.col("k").alias("b"), F.explode(F.array("lo", "hi")).alias("a")).filter("a != b").distinct()))
+        links = found if groups is None else groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)
+        groups = scratch.save(connected_components(links, scratch))
+        scratch.release()
+    return groups
+
+
 def number_rows(rows: DataFrame, keys: list[str], scratch: Scratch, weight: str | None = None) -> DataFrame:
     """Add ``row`` (from 0, in the order of keys), or with weight the sum of it before.
 
