@@ -40,7 +40,9 @@ class ElkanNoto:
         lr = LogisticRegression(featuresCol="_v", labelCol="y_pu", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y", regParam=self.reg)
         model = lr.fit(rows.filter("is_test = 0"))
         c = model.transform(rows.filter("is_test = 1 and y_pu = 1")).agg(F.avg(vector_to_array("_p")[1])).first()[0]
-        return ElkanNotoModel(model, float(c or 1.0))
+        if not c:
+            raise ValueError("no labeled positive was held out")
+        return ElkanNotoModel(model, float(c))
 
 
 def upu_squared(df: DataFrame, prior: float, x1: str, x2: str, reg: float = 0.01) -> DataFrame:

@@ -39,7 +39,10 @@ def feature_statistics(df: DataFrame, features: list[str], low: float = 1e-12) -
         good = F.when(~missing & (F.abs(x) < float("inf")), x)
         stats.append(F.struct(F.lit(f).alias("feature"), F.count_if(missing).alias("missing"), F.count_if(F.abs(x) == float("inf")).alias("infinite"), (F.min(good) == F.max(good)).alias("constant"), F.var_pop(good).alias("variance")))
     rows = df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
-    return rows.select("feature", "missing", "infinite", "constant", (~F.col("constant") & (F.col("variance") <= low)).alias("low_variance"), F.round(F.sqrt("variance"), 6).alias("stddev"))
+    # findings of single features ask for finite values in all of them
+    finite = rows.agg((F.sum("missing") + F.sum("infinite") == 0).alias("_finite"))  # one row
+    rows = rows.crossJoin(F.broadcast(finite)).withColumn("constant", F.col("constant") & F.col("_finite"))
+    return rows.select("feature", "missing", "infinite", "constant", (F.col("_finite") & ~F.col("constant") & (F.col("variance") <= low)).alias("low_variance"), F.round(F.sqrt("variance"), 6).alias("stddev"))
 
 
 def profile_issues(df: DataFrame, label: str = "y_pu", least: int = 30, most_ratio: float = 100.0) -> DataFrame:

@@ -33,8 +33,9 @@ def domain_assumptions(df: DataFrame, priors: dict[str, float], tolerance: float
     rate = lambda d: safe_ratio(F.count_if((F.col("domain") == d) & (F.col("y_pu") == 1)), F.count_if(F.col("domain") == d))
     r = df.agg(rate("source").alias("rs"), rate("target").alias("rt"))
     cs, ct = F.col("rs") / priors["source"], F.col("rt") / priors["target"]
-    moved, mechanism = F.lit(abs(priors["target"] - priors["source"]) > tolerance), F.abs(ct - cs) > tolerance
-    says = F.when(moved & mechanism, "both_shift").when(moved, "class_prior_shift").when(mechanism, "labeling_mechanism_shift").when(mechanism.isNull(), "inconclusive").otherwise("stable")
+    moved, mechanism = F.lit(abs(priors["target"] - priors["source"]) >= tolerance), F.abs(ct - cs) >= tolerance
+    possible = (cs <= 1) & (ct <= 1)
+    says = F.when(~F.coalesce(possible, F.lit(False)), "inconclusive").when(moved & mechanism, "both_shift").when(moved, "class_prior_shift").when(mechanism, "labeling_mechanism_shift").otherwise("stable")
     return r.select(F.round("rs", 9).alias("source_rate"), F.round("rt", 9).alias("target_rate"), F.round(cs, 9).alias("source_propensity"), F.round(ct, 9).alias("target_propensity"), F.round(ct - cs, 9).alias("propensity_change"), says.alias("conclusion"))
 
 
@@ -94,9 +95,9 @@ def monitor_windows(df: DataFrame, jump: float = 0.05) -> DataFrame:
 
 def review_queue(df: DataFrame, budget: int, id_col: str) -> DataFrame:
     """rank, id, uncertainty of the unlabeled rows that the model knows least about: a top-n."""
-    queue = df.filter("y_pu = 0").select(id_col, F.round(1 - 2 * F.abs(F.col("probability") - 0.5), 9).alias("uncertainty"))
+    queue = df.filter("y_pu = 0").select(id_col, (1 - 2 * F.abs(F.col("probability") - 0.5)).alias("uncertainty"))
     top = queue.orderBy(F.desc("uncertainty"), id_col).limit(budget)
-    return top.select(F.row_number().over(Window.orderBy(F.desc("uncertainty"), id_col)).cast("int").alias("rank"), id_col, "uncertainty")
+    return top.select(F.row_number().over(Window.orderBy(F.desc("uncertainty"), id_col)).cast("int").alias("rank"), id_col, F.round("uncertainty", 9).alias("uncertainty"))
 
 
 def selective_summary(df: DataFrame, least: float = 0.5) -> DataFrame:

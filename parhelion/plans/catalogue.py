@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parhelion.operators import experiments, learners, losses, metrics, profile, sampling, shift
+from parhelion.plans import extended
 from parhelion.sources import adapters as src
 
 PRIOR = 0.4
@@ -16,7 +17,7 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 def queries() -> dict:
     s, v, t = src.scored, src.vectors, src.text_labels
     out = {n: (lambda spark, d, n=n: metrics.scalar_metric(s(spark, d), n, PRIOR)) for n in metrics.NAMES}
-    return out | {
+    return out | extended.queries() | {
         "pu_auc_roc": lambda spark, d: metrics.auc(s(spark, d)),
         "metric_panel": lambda spark, d: metrics.panel(s(spark, d), PRIOR),
         "average_precision": lambda spark, d: metrics.average_precision(s(spark, d)),
@@ -102,7 +103,7 @@ def oracle_sql() -> dict[str, str]:
     raw = f"({ratio} / (1 - {ratio})) / (CAST(0.1 AS DOUBLE) * ({ratio} / (1 - {ratio})) + CAST(0.9 AS DOUBLE))"
     gram = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round((sum(CAST(embedding[{i + 1}] AS DOUBLE) * CAST(embedding[{j + 1}] AS DOUBLE)) - sum(CAST(embedding[{i + 1}] AS DOUBLE)) * sum(CAST(embedding[{j + 1}] AS DOUBLE))) / (CAST(count(*) AS DOUBLE) * count(*)), 6) AS value FROM v" for i in range(3) for j in range(3))
     ratio_of = "round(coalesce(CAST({0} AS DOUBLE) / nullif({1}, 0), CAST('Infinity' AS DOUBLE)), 9)"
-    return one | {
+    return one | extended.oracle_sql(_SCORED, _VECTORS, _TEXT) | {
         "pu_auc_roc": f"{_SCORED}{_AUC} SELECT {auc} AS pu_auc_roc",
         "metric_panel": f"{_SCORED}{_AUC} " + " UNION ALL ".join(f"SELECT '{n}' AS metric, round(CAST({e} AS DOUBLE), 9) AS value FROM a" for n, e in _METRIC.items()) + f" UNION ALL SELECT 'pu_auc_roc', {auc}",
         "average_precision": _SCORED + ", b AS (SELECT score, CAST(count(*) FILTER (y_true = 1) AS DOUBLE) AS bp, CAST(count(*) AS DOUBLE) AS bn FROM s GROUP BY score), r AS (SELECT bp, sum(bp) OVER w AS tp, sum(bn) OVER w AS seen FROM b WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT round(sum(bp * tp / seen) / sum(bp), 9) AS average_precision FROM r",
@@ -131,11 +132,11 @@ def oracle_sql() -> dict[str, str]:
         "risk_components": _TEXT + ", m AS (SELECT avg(g) FILTER (y_pnu = 1) AS p, avg(g) FILTER (y_pnu = -1) AS n, avg(g) FILTER (y_pnu = 0) AS u FROM t) SELECT 'pn' AS component, round(-0.4 * p + 0.6 * n, 6) AS value FROM m UNION ALL SELECT 'pu', round(-0.4 * p + u, 6) FROM m UNION ALL SELECT 'nu', round(0.6 * n - u, 6) FROM m",
         "llsvm_calibration": _SCORED + "SELECT round(10 * avg(power(greatest(10 / pi() * atan(g) + 0.2, 0), 2)) FILTER (y_pu = 0), 6) AS calibration FROM s",
         "domain_sensitivity_grid": "WITH d AS (SELECT o_orderdate < TIMESTAMP '1998-01-01' AS src, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS y FROM orders), r AS (SELECT CAST(sum(y) FILTER (src) AS DOUBLE) / count(*) FILTER (src) AS rs, CAST(sum(y) FILTER (NOT src) AS DOUBLE) / count(*) FILTER (NOT src) AS rt FROM d), a AS (SELECT CAST(unnest([0.35, 0.4, 0.45]) AS DOUBLE) AS ps), b AS (SELECT CAST(unnest([0.45, 0.5, 0.55]) AS DOUBLE) AS pt) SELECT round(ps, 9) AS source_prior, round(pt, 9) AS target_prior, round(rs / ps, 9) AS source_propensity, round(rt / pt, 9) AS target_propensity, round(rt / pt - rs / ps, 9) AS propensity_change FROM r, a, b",
-        "domain_assumptions": "WITH d AS (SELECT o_orderdate < TIMESTAMP '1998-01-01' AS src, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS y FROM orders), r AS (SELECT CAST(sum(y) FILTER (src) AS DOUBLE) / count(*) FILTER (src) AS rs, CAST(sum(y) FILTER (NOT src) AS DOUBLE) / count(*) FILTER (NOT src) AS rt FROM d) SELECT round(rs, 9) AS source_rate, round(rt, 9) AS target_rate, round(rs / CAST(0.4 AS DOUBLE), 9) AS source_propensity, round(rt / CAST(0.5 AS DOUBLE), 9) AS target_propensity, round(rt / CAST(0.5 AS DOUBLE) - rs / CAST(0.4 AS DOUBLE), 9) AS propensity_change, CASE WHEN abs(rt / 0.5 - rs / 0.4) > 0.05 THEN 'both_shift' ELSE 'class_prior_shift' END AS conclusion FROM r",
+        "domain_assumptions": "WITH d AS (SELECT o_orderdate < TIMESTAMP '1998-01-01' AS src, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS y FROM orders), r AS (SELECT CAST(sum(y) FILTER (src) AS DOUBLE) / count(*) FILTER (src) AS rs, CAST(sum(y) FILTER (NOT src) AS DOUBLE) / count(*) FILTER (NOT src) AS rt FROM d) SELECT round(rs, 9) AS source_rate, round(rt, 9) AS target_rate, round(rs / CAST(0.4 AS DOUBLE), 9) AS source_propensity, round(rt / CAST(0.5 AS DOUBLE), 9) AS target_propensity, round(rt / CAST(0.5 AS DOUBLE) - rs / CAST(0.4 AS DOUBLE), 9) AS propensity_change, CASE WHEN rs > CAST(0.4 AS DOUBLE) OR rt > CAST(0.5 AS DOUBLE) THEN 'inconclusive' WHEN abs(rt / CAST(0.5 AS DOUBLE) - rs / CAST(0.4 AS DOUBLE)) >= 0.05 THEN 'both_shift' ELSE 'class_prior_shift' END AS conclusion FROM r",
         "relative_weights": f"{_VECTORS}, w AS (SELECT vec_id, {raw} AS raw FROM v) SELECT vec_id, round(raw / (SELECT avg(raw) FROM w), 6) AS weight FROM w",
         "importance_weight_stats": f"{_SCORED}, q AS (SELECT {raw} AS raw FROM s), w AS (SELECT raw / (SELECT avg(raw) FROM q) AS weight FROM q) SELECT round(min(weight), 6) AS min_weight, {quant}, round(max(weight), 6) AS max_weight, round(avg(weight), 6) AS mean_weight, round(sum(weight) * sum(weight) / sum(weight * weight), 4) AS ess, round(sum(weight) * sum(weight) / sum(weight * weight) / count(*), 6) AS ess_fraction FROM w",
         "monitor_windows": "WITH w AS (SELECT strftime(ts, '%Y-%m-%d') AS window_id, count(*) AS n, avg(CASE WHEN event_type = 'purchase' THEN CAST(1 AS DOUBLE) ELSE 0 END) AS rate FROM events GROUP BY 1), c AS (SELECT *, rate - lag(rate) OVER (ORDER BY window_id) AS change FROM w) SELECT window_id, n, round(rate, 9) AS label_rate, round(change, 9) AS label_rate_change, CASE WHEN abs(change) >= 0.05 THEN 'warning' ELSE 'none' END AS level FROM c",
-        "review_queue": _VECTORS + ", q AS (SELECT vec_id, round(1 - 2 * abs(probability - 0.5), 9) AS uncertainty FROM v WHERE y_pu = 0) SELECT CAST(row_number() OVER (ORDER BY uncertainty DESC, vec_id) AS INTEGER) AS rank, vec_id, uncertainty FROM q ORDER BY uncertainty DESC, vec_id LIMIT 20",
+        "review_queue": _VECTORS + ", q AS (SELECT vec_id, 1 - 2 * abs(probability - CAST(0.5 AS DOUBLE)) AS uncertainty FROM v WHERE y_pu = 0) SELECT CAST(row_number() OVER (ORDER BY uncertainty DESC, vec_id) AS INTEGER) AS rank, vec_id, round(uncertainty, 9) AS uncertainty FROM q ORDER BY q.uncertainty DESC, vec_id LIMIT 20",
         "selective_summary": _SCORED + ", k AS (SELECT 2 * abs(probability - 0.5) >= 0.5 AS sure, (probability >= 0.5) = (y_true = 1) AS good FROM s) SELECT count(*) AS n, count(*) FILTER (sure) AS n_kept, round(CAST(count(*) FILTER (sure) AS DOUBLE) / count(*), 9) AS coverage, round(CAST(count(*) FILTER (sure AND good) AS DOUBLE) / count(*) FILTER (sure), 9) AS selective_accuracy FROM k",
         "trusted_set": _VECTORS + "SELECT vec_id, 'negative' AS side FROM (SELECT vec_id FROM v ORDER BY probability, vec_id LIMIT 30) UNION ALL SELECT vec_id, 'positive' FROM (SELECT vec_id FROM v ORDER BY probability DESC, vec_id DESC LIMIT 30)",
         "trial_summary": "WITH r AS (SELECT p_brand AS method, 'price' AS metric, p_retailprice AS value FROM part UNION ALL SELECT p_brand, 'size', CAST(p_size AS DOUBLE) FROM part) SELECT method, metric, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, count(*) AS n FROM r WHERE value IS NOT NULL GROUP BY method, metric",
