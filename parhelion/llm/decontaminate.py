@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
 BLOCK_BYTES = 16 << 20
@@ -86,6 +87,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, threshold: float = 0.8
     null texts match nothing.  Repeated item rows count once, repeated documents each.
     """
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+    item_kind = to_arrow_type(items.schema[item_col].dataType)
     out = None
     for block in item_blocks(items, threshold, k, item_col, item_text_col):
 
@@ -97,7 +99,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, threshold: float = 0.8
                         rows.append(i)
                         found.append(f)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[1] / f[2] for f in found], pa.float64())], names=["doc_id", "item_id", "shared", "shingles", "containment"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([f[0] for f in found], item_kind), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[1] / f[2] for f in found], pa.float64())], names=["doc_id", "item_id", "shared", "shingles", "containment"])
 
         part = docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, shared long, shingles long, containment double")
         out = part if out is None else out.union(part)
