@@ -155,13 +155,15 @@ class BiasedPU:
     features: list[str]
     threshold: float = 0.5
     c: float = 1.0
+    weight: str | None = None  # a column of row weights
     model: object = field(default=None, repr=False)
     scale: dict = field(default_factory=dict, repr=False)
 
     def fit(self, df: DataFrame, y: str = "y_pu") -> "BiasedPU":
         row = df.agg(F.count("*").alias("n"), *[F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f"s_{i}") for i, f in enumerate(self.features)]).first()
         self.scale = {f: (row[f"s_{i}"].m, row[f"s_{i}"].s if row[f"s_{i}"].s > 1e-12 else 1.0) for i, f in enumerate(self.features)}
-        self.model = LogisticRegression(**_OWN, labelCol=y, maxIter=200, tol=1e-9, regParam=1 / (self.c * row.n), standardization=False).fit(self._rows(df))
+        weighted = {"weightCol": self.weight} if self.weight else {}
+        self.model = LogisticRegression(**_OWN, **weighted, labelCol=y, maxIter=200, tol=1e-9, regParam=1 / (self.c * row.n), standardization=False).fit(self._rows(df))
         return self
 
     def _rows(self, df: DataFrame) -> DataFrame:

@@ -99,7 +99,8 @@ def scar_table(spark: SparkSession, n: int, label_frequency: float, n_features:
     """n positives and n negatives; of the positives a fixed number, in order of md5, is labeled."""
     from parhelion.operators.sampling import scar_labels
 
-    return scar_labels(gaussian_pu(spark, n, n, n_features, separation, seed).drop("y_pu"), label_frequency, "id", seed=seed)
+    rows = gaussian_pu(spark, n, n, n_features, separation, seed).drop("y_pu")
+    return rows.join(scar_labels(rows, label_frequency, "id", seed=seed), "id")
 
 
 def sar_table(spark: SparkSession, n: int, label_frequency: float, mechanism: str = "linear", strength: float = 1.0, n_features: int = 2, separation: float = 2.0, seed: int = 0) -> DataFrame:

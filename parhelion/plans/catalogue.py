@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parhelion.operators import experiments, learners, losses, metrics, profile, sampling, shift
-from parhelion.plans import extended
+from parhelion.plans import diagnosis, extended
 from parhelion.sources import adapters as src
 
 PRIOR = 0.4
@@ -17,7 +17,7 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 def queries() -> dict:
     s, v, t = src.scored, src.vectors, src.text_labels
     out = {n: (lambda spark, d, n=n: metrics.scalar_metric(s(spark, d), n, PRIOR)) for n in metrics.NAMES}
-    return out | extended.queries() | {
+    return out | extended.queries() | diagnosis.queries() | {
         "pu_auc_roc": lambda spark, d: metrics.auc(s(spark, d)),
         "metric_panel": lambda spark, d: metrics.panel(s(spark, d), PRIOR),
         "average_precision": lambda spark, d: metrics.average_precision(s(spark, d)),
@@ -103,7 +103,7 @@ def oracle_sql() -> dict[str, str]:
     raw = f"({ratio} / (1 - {ratio})) / (CAST(0.1 AS DOUBLE) * ({ratio} / (1 - {ratio})) + CAST(0.9 AS DOUBLE))"
     gram = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round((sum(CAST(embedding[{i + 1}] AS DOUBLE) * CAST(embedding[{j + 1}] AS DOUBLE)) - sum(CAST(embedding[{i + 1}] AS DOUBLE)) * sum(CAST(embedding[{j + 1}] AS DOUBLE))) / (CAST(count(*) AS DOUBLE) * count(*)), 6) AS value FROM v" for i in range(3) for j in range(3))
     ratio_of = "round(coalesce(CAST({0} AS DOUBLE) / nullif({1}, 0), CAST('Infinity' AS DOUBLE)), 9)"
-    return one | extended.oracle_sql(_SCORED, _VECTORS, _TEXT) | {
+    return one | extended.oracle_sql(_SCORED, _VECTORS, _TEXT) | diagnosis.oracle_sql(_SCORED) | {
         "pu_auc_roc": f"{_SCORED}{_AUC} SELECT {auc} AS pu_auc_roc",
         "metric_panel": f"{_SCORED}{_AUC} " + " UNION ALL ".join(f"SELECT '{n}' AS metric, round(CAST({e} AS DOUBLE), 9) AS value FROM a" for n, e in _METRIC.items()) + f" UNION ALL SELECT 'pu_auc_roc', {auc}",
         "average_precision": _SCORED + ", b AS (SELECT score, CAST(count(*) FILTER (y_true = 1) AS DOUBLE) AS bp, CAST(count(*) AS DOUBLE) AS bn FROM s GROUP BY score), r AS (SELECT bp, sum(bp) OVER w AS tp, sum(bn) OVER w AS seen FROM b WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT round(sum(bp * tp / seen) / sum(bp), 9) AS average_precision FROM r",
