@@ -78,7 +78,7 @@ def recommend(spark, a) -> int:
     status = known.get("selection", {})
     few = any(i["code"] == "few_labeled_positives" for i in known.get("issues", []))
     best = registry.recommend(spark, known["n_samples"], a.class_prior, a.scenario, a.assumption, a.top, status=status.get("status", "inconclusive"), identifying=status.get("is_identifying", False), few_positives=few)
-    out = {"methods": [r.asDict() for r in best.orderBy("rank").collect()], "warnings": diagnostics.data_warnings(spark, status.get("status", "inconclusive"), status.get("is_identifying", False), "user" if a.class_prior else None, few)}
+    out = {"methods": [r.asDict() for r in best.orderBy("rank").collect()], "warnings": diagnostics.data_warnings(status.get("status", "inconclusive"), status.get("is_identifying", False), "user" if a.class_prior else None, few)}
     reports.save_report(out, f"{a.output}/recommendation.json")
     return 0
 

@@ -8,7 +8,7 @@ from itertools import combinations, product
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parhelion.functions.scalar import safe_ratio, sigmoid
@@ -196,7 +196,7 @@ def method_warnings(candidates: DataFrame, status: str = "inconclusive", assumpt
     return candidates.select("name", F.explode(F.array_compact(F.array(*[F.when(on, code) for code, on in rules]))).alias("code"))
 
 
-def data_warnings(spark: SparkSession, status: str, identifying: bool, prior_source: str | None, few_positives: bool) -> list[str]:
+def data_warnings(status: str, identifying: bool, prior_source: str | None, few_positives: bool) -> list[str]:
     """Codes of the warnings about the data; prior_source is None (no prior), user, constructor or estimated."""
     risk = status == "at_risk"
     rules = [("scar_may_not_hold", risk and identifying), ("labeling_depends_on_features", risk and not identifying), ("class_prior_supplied", prior_source in ("user", "constructor")), ("few_labeled_positives", few_positives), ("selection_inconclusive", status == "inconclusive")]

@@ -12,6 +12,7 @@ from collections import deque
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -313,7 +314,15 @@ class Run:
         if weight is not None and method not in WEIGHTED:
             raise RunError(f"{method} takes no row weights")
         folds = sampling.kfold(rows, self.cv, self.id_col, canonical, self.seed)
-        dealt = rows.drop("fold").join(folds, self.id_col)
+        # read once by every fit; a lost executor's part is computed again
+        dealt = rows.drop("fold").join(folds, self.id_col).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._evaluated(dealt, canonical, truth, weight, refit, prior, method, names, issues, selection, summary, few, steps, progress, token)
+        finally:
+            dealt.unpersist()
+
+    def _evaluated(self, dealt, canonical, truth, weight, refit, prior, method, names, issues, selection, summary, few, steps, progress, token) -> RunReport:
+        """Cross-validation, refit and report over the rows with their folds."""
         found: dict[str, list] = {n: [] for n in names}
         for k in range(self.cv):
             token.check()
@@ -326,12 +335,12 @@ class Run:
         model, shown = None, []
         if refit:
             token.check()
-            model = self.learner(method, prior["value"], weight).fit(rows, canonical)
-            scored = with_margin(model.transform(rows), model).withColumns({"pred": F.col("prediction"), "y_pu": (F.col(canonical) == 1).cast("int")})
+            model = self.learner(method, prior["value"], weight).fit(dealt, canonical)
+            scored = with_margin(model.transform(dealt), model).withColumns({"pred": F.col("prediction"), "y_pu": (F.col(canonical) == 1).cast("int")})
             shown = [r.asDict() for r in diagnostics.diagnostic_metrics(scored, prior["value"], "pred", "margin", truth).collect()]
             issues += [r.asDict() for r in diagnostics.prediction_issues(scored, "pred", "margin").collect()]
         report_progress(progress, "report", steps, steps)
-        warnings = diagnostics.data_warnings(df.sparkSession, selection.get("status", "inconclusive"), selection.get("is_identifying", False), prior["source"] if prior["value"] is not None else None, few)
+        warnings = diagnostics.data_warnings( selection.get("status", "inconclusive"), selection.get("is_identifying", False), prior["source"] if prior["value"] is not None else None, few)
         issues += [{"code": c, "severity": "warning"} for c in warnings]
         source = {"classifier": self.classifier, "params": json.dumps(self.params, sort_keys=True), "cv": self.cv, "seed": self.seed, "weight": weight, "features": ",".join(self.features)}
         return RunReport(method, prior, results, {**summary, **{f"selection_{k}": v for k, v in selection.items()}}, issues, shown, source, model)
