@@ -7,6 +7,7 @@ import json
 import sys
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from parhelion import workflows
@@ -204,7 +205,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     ship(spark)
     try:
         return a.function(spark, a)
-    except (ValueError, KeyError, OSError, workflows.RunError) as e:
+    except (ValueError, KeyError, OSError, AnalysisException, workflows.RunError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
 
