@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -493,6 +494,28 @@ def test_topk_brute_force(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_topk_sends_no_queries_through_the_driver(spark):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 1, (400, 3)))], "vec_id long, embedding array<float>")
+    out = topk.top_k(df, every=2, tree_rows=20, block=8)
+    assert out.count() == 1000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_topk_block_search():
+    rng = np.random.default_rng(8)
+    for n, dim, spread in ((3000, 6, 1e3), (700, 2, 3.0), (3, 4, 9.0), (600, 3, 2e8)):
+        v = np.floor(rng.normal(0, spread, (n, dim))).astype(np.int64)
+        v[n // 2 :: 2] = v[0]
+        tree = pickle.loads(pickle.dumps(topk.MTree(np.arange(n), topk.narrow(v))))
+        own = np.arange(0, n, 7)
+        got = sorted(zip(*(x.tolist() for x in tree.search_block(own, topk.narrow(v[own]), 5))))
+        want = [(int(o), i, s) for o in own for s, i in tree.search(v[o], 5, o)]
+        brute = [(int(o), i, -s) for o in own for s, i in sorted((-sum(int(a) * int(b) for a, b in zip(v[o], v[i])), i) for i in range(n) if i != o)[:5]]
+        assert got == sorted(want) == sorted(brute)
+
+
 # 10 packing
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
