@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from parhelion.llm.shared import Scratch, connected_components, groups_by_heads
+from parhelion.llm.shared import Scratch, connected_components, groups_by_cells
 
 _BLOCK = 1 << 16
 #: Smallest shingle hashes that are cells of a document.
@@ -192,23 +192,22 @@ def whole_sets(rows: DataFrame, shingle: int) -> DataFrame:
 
 def similar_sets(rows: DataFrame, prints: DataFrame, scratch: Scratch, shingle: int, similarity: float, max_bits: int) -> DataFrame:
     """node, component of the keys of prints (``sketches`` of rows) linked by a Jaccard similarity of at least ``similarity``."""
-    need = f"{similarity / (1 + similarity)!r}D * (na + nb) - 1e-9"
+    need = lambda a, b: f"{similarity / (1 + similarity)!r}D * ({a} + {b}) - 1e-9"
     keys = prints.select(F.col("key").alias("k"), "h", "n", "fp", "cells")
 
     def prepare(asked: DataFrame):
         signs = scratch.save(keys.join(asked, "k").groupBy("k").agg(F.min("h").alias("h"), F.max("n").alias("n"), F.max("fp").alias("fp")))
         whole = scratch.save(whole_sets(rows.join(signs.select("h"), "h", "left_semi"), shingle).dropDuplicates(["key"]))
         scratch.release()
-        na, nb = (signs.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("fp").alias(f"f{x}")) for x in "ab")
         sa, sb = (whole.select(F.col("key").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
 
-        def alike(pairs: DataFrame) -> DataFrame:
-            near = pairs.join(na, "a").join(nb, "b").filter(f"least(na, nb) >= {need} and bit_count(fa ^ fb) <= {max_bits}")
-            return scratch.save(near.drop("fa", "fb")).join(sa, "a").join(sb, "b").filter(f"size(array_intersect(sa, sb)) >= {need}").select("a", "b")
+        def alike(pairs: DataFrame, likely: bool) -> DataFrame:
+            return scratch.save(pairs).join(sa, "a").join(sb, "b").filter(f"size(array_intersect(sa, sb)) >= {need('size(sa)', 'size(sb)')}").select("a", "b")
 
-        return alike
+        near = lambda a, b: f"least({a}.n, {b}.n) >= {need(f'{a}.n', f'{b}.n')} and bit_count({a}.fp ^ {b}.fp) <= {max_bits}"
+        return signs.select("k", F.struct("n", "fp").alias("s")), near, alike
 
-    return groups_by_heads(keys.select("k", F.explode("cells").alias("cell")), prepare, scratch)
+    return groups_by_cells(keys.select("k", F.explode("cells").alias("cell")), prepare, scratch)
 
 
 def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

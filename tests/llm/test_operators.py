@@ -22,7 +22,7 @@ from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from parhelion.llm import decontaminate, language, licenses, line_dedup, neardup, packing, secrets, sharding, topk, toxicity
-from parhelion.llm.shared import Scratch, connected_components, number_rows
+from parhelion.llm.shared import Scratch, connected_components, groups_by_cells, number_rows
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id long"
@@ -68,6 +68,26 @@ def test_row_numbers(spark):
     assert all(a + w == b for (a, w), (b, _) in zip(sums, sums[1:])) and sums[0][0] == 0
 
 
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_groups_by_cells_brute_force(spark, chunk):
+    """Things of a cell are alike if their numbers differ by 3 at most."""
+    rng = random.Random(chunk)
+    number = {k: rng.randrange(700) for k in rng.sample(range(-(10**6), 10**6), 300)}
+    cells = {(k, c) for k in number for c in rng.sample(range(12), 2) if c < 11} | {(k, 99) for k in list(number)[:120]}
+    both = [(a, b) for c in {c for _, c in cells} for a, b in combinations(sorted(k for k, at in cells if at == c), 2)]
+    links = {(a, b) for a, b in both if abs(number[a] - number[b]) <= 3}
+    asked = spark.createDataFrame(list(number.items()), "k long, v long")
+
+    def prepare(ks):
+        a, b = (asked.select(F.col("k").alias(x), F.col("v").alias(f"v{x}")) for x in "ab")
+        alike = lambda pairs, likely: pairs.join(a, "a").join(b, "b").filter("abs(va - vb) <= 3").select("a", "b")
+        return asked.join(ks, "k").select("k", F.struct("v").alias("s")), lambda a, b: f"abs({a}.v - {b}.v) <= 5", alike
+
+    out = groups_by_cells(spark.createDataFrame(sorted(cells), "k long, cell long"), prepare, Scratch(spark, "t"), chunk=chunk)
+    want = {k: g for k, g in union_find(links, sorted(number)).items() if any(k in x for x in links)}
+    assert {r.node: r.component for r in out.collect()} == want and out.count() == len(want)
+
+
 # 1 lines
 def words_of(line):
     return re.findall(r"[^\W_]+", line.lower())
@@ -149,6 +169,19 @@ def test_lines_of_the_tables(spark):
     assert equal <= got <= want and len(got - equal) >= 0.9 * len(want - equal)
 
 
+def test_lines_of_one_block_are_all_compared(spark):
+    """Pairs whose lines are unlike all others of the block that they share."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = []
+    for _ in range(40):  # the only long word begins the one block that all lines share
+        line = ["absolutely", "a", "b", "c", "d"] + [word() for _ in range(20)]
+        near = [w[:-1] + "z" if i in (5, 10, 15, 20, 24) else w for i, w in enumerate(line)]
+        texts += [" ".join(line), " ".join(near)]
+    out = line_dedup.dedup_lines(docs_of(spark, texts), max_bits=64).collect()
+    assert {r.doc_id for r in out if r._removed} == set(range(1, 80, 2))
+
+
 def test_lines_odd(spark):
     got = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, ODD)).collect()}
     assert len(got) == len(ODD) and got[0].text is None and got[7].text == "" and got[7]._removed == 2 and got[3].text == "\n\n"
