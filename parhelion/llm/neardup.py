@@ -14,8 +14,8 @@ exact and linear in the members.  Nothing is left out in either way.
 ``keep_one_similar`` links documents by the Jaccard similarity of their shingles instead,
 since two bits catch few of the similar documents.  Candidates share one of the
 ``CELLS`` smallest hashes of their shingles, which two sets of a similarity of 0.8
-miss with a chance of 0.2 ** CELLS; sizes, then SimHashes within ``max_bits`` and then the
-whole sets decide.
+miss with a chance of 0.2 ** CELLS; sizes and then the whole sets decide (SimHashes within
+``max_bits`` too if that is less than 64: repeated words move them while the sets stay alike).
 """
 
 from __future__ import annotations
@@ -210,11 +210,11 @@ def similar_sets(rows: DataFrame, prints: DataFrame, scratch: Scratch, shingle:
     return groups_by_cells(keys.select("k", F.explode("cells").alias("cell")), prepare, scratch)
 
 
-def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, one row of each group of similar documents: its smallest doc_id.
 
     Documents link when they share one of their CELLS smallest shingle hashes, their
-    SimHashes differ in at most max_bits and the Jaccard similarity of their distinct word
+    SimHashes differ in at most max_bits (64: any) and the Jaccard similarity of their distinct word
     shingles is at least ``similarity``; texts without words are alike.  If the smallest id has several rows in
     the group, one of them stays.  Without any id in a group, one of its rows stays.
     """

@@ -365,6 +365,25 @@ def test_similar_documents_brute_force(spark):
     assert neardup.keep_one_similar(docs_of(spark, [])).count() == 0
 
 
+def test_similar_documents_of_one_cell_are_all_compared(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(words), " ".join([*words[:-1], "end"])]
+    # the second of two texts repeats a part of its words often, which moves SimHashes and no shingle set by much
+    words = [f"v{i}" for i in range(200)]
+    texts += [" ".join(words), " ".join(words + words[:10] * 60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("h", F.xxhash64("text"))
+    scratch = Scratch(spark, "t")
+    prints = scratch.save(neardup.sketches(rows, 5))
+    key = {r.id: r.key for r in prints.collect()}
+    out = neardup.similar_sets(rows, prints.withColumn("cells", F.array(F.lit(1).cast("long"))), scratch, 5, 0.8, 64).collect()
+    assert {r.node: r.component for r in out} == {key[x]: min(key[x], key[x ^ 1]) for x in key}
+    kept = neardup.keep_one_similar(rows.select(F.col("id").alias("doc_id"), "text")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, len(texts), 2))
+
+
 # 6 language
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
