@@ -178,16 +178,51 @@ def sketches(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("id", "h", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h long, key long, n long, fp long, cells array<long>")
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Eight bits or more a hash, a power of two of them, each set by the hashes that end in its number."""
+    bits = np.zeros(64 << max(0, int(len(s) - 1).bit_length() - 3), bool)
+    bits[s & np.uint64(len(bits) - 1)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def whole_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """key, s (the whole shingle set) of rows (text)."""
+    """key, s (the whole shingle set), n (its size), bits (``bitmap``) of rows (text)."""
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
             key = pa.array(np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([key, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "s"])
+            whole, bits = (pa.array(x, pa.list_(pa.int64())) for x in ([s.view(np.int64) for s in sets], [bitmap(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([key, whole, pa.array([len(s) for s in sets], pa.int64()), bits], names=["key", "s", "n", "bits"])
+
+    return rows.select("text").mapInArrow(run, "key long, s array<long>, n long, bits array<long>")
+
+
+def may_overlap(a: str, b: str, need: str) -> str:
+    """SQL: whether sets with the bitmaps and sizes a and b can share ``need`` hashes: a bit that only one has is a hash that only it has."""
+    fit = lambda x, y: f"if(size({x}.bits) > size({y}.bits), zip_with(slice({x}.bits, 1, size({y}.bits)), slice({x}.bits, size({y}.bits) + 1, size({y}.bits)), (p, q) -> p | q), {x}.bits)"
+    apart = lambda x, y: f"aggregate(zip_with({fit(x, y)}, {fit(y, x)}, (p, q) -> coalesce(bit_count(p & ~q), 0)), 0, (s, v) -> s + v) <= {x}.n - ({need})"
+    # sets of which one is over twice as large as the other are left to the whole comparison
+    return f"(size({a}.bits) not between size({b}.bits) div 2 and size({b}.bits) * 2 or {apart(a, b)} and {apart(b, a)})"
 
-    return rows.select("text").mapInArrow(run, "key long, s array<long>")
+
+def pairs_by_rare_shingles(things: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs of things (k, c) of different c, among them all with a Jaccard similarity of ``similarity``.
+
+    A set's hashes are ranked by the number of things that have them, the rarest first.  From
+    the first hash on that two similar sets share, each has as many as they share at least,
+    so it is one of the first (1 - similarity) * n + 1; hashes of one thing only are ranked
+    and not joined.  The work grows with the sizes of the sets, not with the square of a group.
+    """
+    least = f"ceil({similarity!r}D * n - 1e-9)"
+    hashes = things.join(whole.select(F.col("key").alias("k"), "n", "s"), "k").select("k", "c", "n", F.explode("s").alias("x"))
+    known = hashes.join(hashes.groupBy("x").agg(F.count("*").alias("f")).filter("f > 1"), "x")
+    ranked = known.groupBy("k", "c", "n").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("r"))
+    first = ranked.select("k", "c", "n", F.expr("n - size(r)").alias("alone"), F.posexplode(F.expr(f"slice(r, 1, cast(greatest(0, size(r) + 1 - {least}) as int))")).alias("i", "e"))
+    first = first.select("k", "c", "n", F.col("e.x").alias("x"), F.expr("n - alone - i").alias("left"))
+    need = f"{similarity / (1 + similarity)!r}D * (x.n + y.n) - 1e-9"
+    pairs = first.alias("x").join(first.alias("y"), F.expr(f"x.x = y.x and x.k < y.k and x.c != y.c and least(x.left, y.left) >= {need}"))
+    return pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"))
 
 
 def similar_sets(rows: DataFrame, prints: DataFrame, scratch: Scratch, shingle: int, similarity: float, max_bits: int) -> DataFrame:
@@ -200,12 +235,20 @@ def similar_sets(rows: DataFrame, prints: DataFrame, scratch: Scratch, shingle:
         whole = scratch.save(whole_sets(rows.join(signs.select("h"), "h", "left_semi"), shingle).dropDuplicates(["key"]))
         scratch.release()
         sa, sb = (whole.select(F.col("key").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+        ba, bb = (whole.select(F.col("key").alias(x), F.struct("n", "bits").alias(f"b{x}")) for x in "ab")
 
         def alike(pairs: DataFrame, likely: bool) -> DataFrame:
-            return scratch.save(pairs).join(sa, "a").join(sb, "b").filter(f"size(array_intersect(sa, sb)) >= {need('size(sa)', 'size(sb)')}").select("a", "b")
+            # the bitmaps, an eighth to a quarter of the sets, leave few pairs that are not similar
+            few = scratch.save(pairs.join(ba, "a").join(bb, "b").filter(may_overlap("ba", "bb", need("ba.n", "bb.n"))).select("a", "b"))
+            return few.join(sa, "a").join(sb, "b").filter(f"size(array_intersect(sa, sb)) >= {need('size(sa)', 'size(sb)')}").select("a", "b")
+
+        def rare(things: DataFrame) -> DataFrame:
+            # the SimHashes of these pairs are compared as those of others
+            pairs, (fa, fb) = pairs_by_rare_shingles(things, whole, similarity), (signs.select(F.col("k").alias(x), F.struct("n", "fp").alias(f"f{x}")) for x in "ab")
+            return pairs if max_bits >= 64 else pairs.join(fa, "a").join(fb, "b").filter(near("fa", "fb")).select("a", "b")
 
         near = lambda a, b: f"least({a}.n, {b}.n) >= {need(f'{a}.n', f'{b}.n')} and bit_count({a}.fp ^ {b}.fp) <= {max_bits}"
-        return signs.select("k", F.struct("n", "fp").alias("s")), near, alike
+        return signs.select("k", F.struct("n", "fp").alias("s")), near, alike, rare
 
     return groups_by_cells(keys.select("k", F.explode("cells").alias("cell")), prepare, scratch)
 

@@ -88,6 +88,27 @@ def test_groups_by_cells_brute_force(spark, chunk):
     assert {r.node: r.component for r in out.collect()} == want and out.count() == len(want)
 
 
+def test_groups_by_cells_skips_pairs_of_one_group(spark):
+    """A cell whose things are alike in about a tenth of the pairs: most pairs are of one group before they are compared."""
+    rng = random.Random(2)
+    number = {k: rng.randrange(10**6) for k in rng.sample(range(10**6), 400)}
+    alike_sql = "pmod(xxhash64(least(va, vb), greatest(va, vb)), 10) = 0"
+    asked, compared = spark.createDataFrame(list(number.items()), "k long, v long"), []
+
+    def prepare(ks):
+        a, b = (asked.select(F.col("k").alias(x), F.col("v").alias(f"v{x}")) for x in "ab")
+
+        def alike(pairs, likely):
+            compared.append(pairs.count())
+            return pairs.join(a, "a").join(b, "b").filter(alike_sql).select("a", "b")
+
+        return asked.select("k", F.struct("v").alias("s")), lambda a, b: "true", alike
+
+    out = groups_by_cells(asked.select("k", F.lit(1).cast("long").alias("cell")), prepare, Scratch(spark, "t"))
+    assert {r.node: r.component for r in out.collect()} == {k: min(number) for k in number}
+    assert sum(compared) < 0.25 * 400 * 399 / 2
+
+
 # 1 lines
 def words_of(line):
     return re.findall(r"[^\W_]+", line.lower())
@@ -384,6 +405,47 @@ def test_similar_documents_of_one_cell_are_all_compared(spark):
     assert sorted(r.doc_id for r in kept) == list(range(0, len(texts), 2))
 
 
+def test_similar_documents_of_a_crowded_cell(spark):
+    """Copies of one text, most of them too far from each other: all links, and few pairs."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(80), 5 if i % 10 else 1):
+            words[at] = f"x{i}y{at}"
+        texts += [" ".join(words)] + [" ".join([*words, "end", "of", "it"])] * (i % 20 == 1)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("h", F.xxhash64("text"))
+    scratch = Scratch(spark, "t")
+    prints = scratch.save(neardup.sketches(rows, 5).withColumn("cells", F.array(F.lit(1).cast("long"))))
+    key = {r.id: r.key for r in prints.collect()}
+    sets = {key[i]: set(neardup.shingle_set(t).tolist()) for i, t in enumerate(texts)}
+    links = {(a, b) for a, b in combinations(sorted(sets), 2) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+    assert 15 <= len(links) < 3000 and len(sets) == len(texts)
+    whole = scratch.save(neardup.whole_sets(rows, 5))
+    pairs = [(r.a, r.b) for r in neardup.pairs_by_rare_shingles(prints.select(F.col("key").alias("k"), F.col("key").alias("c")), whole, 0.8).distinct().collect()]
+    assert links <= set(pairs) and len(pairs) < 0.2 * len(sets) * (len(sets) - 1) / 2
+    out = neardup.similar_sets(rows, prints, scratch, 5, 0.8, 64).collect()
+    groups = union_find(links, sorted(sets))
+    assert {r.node: r.component for r in out} == {k: g for k, g in groups.items() if any(k in x for x in links)}
+
+
+def test_bitmaps_pass_all_that_overlap(spark):
+    rng = np.random.default_rng(4)
+    pairs = []
+    for n in (1, 7, 8, 9, 64, 100, 130, 700):
+        both = rng.integers(0, 2**63, n).astype(np.uint64)
+        for m in (0, 1, n // 9, n // 4, 3 * n):
+            a, b = np.unique(both), np.unique(np.concatenate([both[: n - m // 2], rng.integers(0, 2**63, m).astype(np.uint64)]))
+            pairs.append([{"n": len(x), "bits": neardup.bitmap(x).tolist()} for x in (a, b)] + [len(np.intersect1d(a, b))])
+    s = "struct<n: long, bits: array<long>>"
+    table = spark.createDataFrame(pairs, f"x {s}, y {s}, shared long")
+    for a, b in ("xy", "yx"):
+        assert table.filter(neardup.may_overlap(a, b, "shared")).count() == len(pairs)
+    near = table.filter("shared > 20 and size(x.bits) = size(y.bits)")
+    assert near.filter(neardup.may_overlap("x", "y", "1.2D * shared")).count() < near.count()
+
+
 # 6 language
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
