@@ -109,6 +109,30 @@ def test_groups_by_cells_skips_pairs_of_one_group(spark):
     assert sum(compared) < 0.25 * 400 * 399 / 2
 
 
+def test_groups_by_cells_compares_inside(spark):
+    """Whole things that meet inside their cells: no pair of the last step is written, and all links are found."""
+    rng = random.Random(4)
+    number = {k: rng.randrange(5000) for k in rng.sample(range(10**6), 300)}
+    cells = {(k, c) for k in number for c in rng.sample(range(4), 2)} | {(k, 50 + c) for k, c in zip(list(number)[:20] * 3, [0] * 20 + [1] * 20 + [2] * 20)}
+    both = [(a, b) for c in {c for _, c in cells} for a, b in combinations(sorted(k for k, at in cells if at == c), 2)]
+    links = {(a, b) for a, b in both if abs(number[a] - number[b]) <= 3}
+    asked, written = spark.createDataFrame(list(number.items()), "k long, v long"), []
+
+    def prepare(ks):
+        a, b = (asked.select(F.col("k").alias(x), F.col("v").alias(f"v{x}")) for x in "ab")
+
+        def alike(pairs, likely):
+            written.append(pairs.count())
+            return pairs.join(a, "a").join(b, "b").filter("abs(va - vb) <= 3").select("a", "b")
+
+        inside = asked.select("k", F.struct("v").alias("t")), lambda x, y: f"abs({x}.v - {y}.v) <= 3"
+        return asked.join(ks, "k").select("k", F.struct("v").alias("s")), lambda x, y: "true", alike, None, inside
+
+    out = groups_by_cells(spark.createDataFrame(sorted(cells), "k long, cell long"), prepare, Scratch(spark, "t"))
+    want = {k: g for k, g in union_find(links, sorted(number)).items() if any(k in x for x in links)}
+    assert {r.node: r.component for r in out.collect()} == want and len(written) == 2 and sum(written) <= 8 * len(cells)
+
+
 # 1 lines
 def words_of(line):
     return re.findall(r"[^\W_]+", line.lower())
@@ -190,6 +214,24 @@ def test_lines_of_the_tables(spark):
     assert equal <= got <= want and len(got - equal) >= 0.9 * len(want - equal)
 
 
+def test_ends_of_near_texts_are_near(spark):
+    """No text within a distance has ends that are not; most unlike texts have."""
+    rng, rows = random.Random(5), []
+    word = lambda: "".join(rng.choice("abcdefghij é") for _ in range(rng.randrange(1, 9)))
+    for _ in range(300):
+        x = list(" ".join(word() for _ in range(rng.randrange(1, 25))))
+        y, top = list(x), int(0.2 * len(x))
+        for _ in range(rng.randrange(top + 2)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(2)] = rng.choice(["", "z", "q"])
+        y = y if rng.random() < 0.7 else list(" ".join(word() for _ in range(20)))[: len(x)]
+        rows.append(("".join(x), "".join(y), top))
+    df = spark.createDataFrame(rows, "x string, y string, top int").select("*", F.expr("abs(length(x) - length(y)) <= top and " + line_dedup.ends_near("x", "y", "top")).alias("near"))
+    got = df.collect()
+    assert all(r.near for r in got if edit(r.x, r.y) <= r.top)
+    assert sum(not r.near for r in got if edit(r.x, r.y) > 2 * r.top) > 40
+
+
 def test_lines_of_one_block_are_all_compared(spark):
     """Pairs whose lines are unlike all others of the block that they share."""
     rng = random.Random(12)
