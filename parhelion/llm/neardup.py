@@ -13,14 +13,15 @@ exact and linear in the members.  Nothing is left out in either way.
 
 ``keep_one_similar`` links documents by the Jaccard similarity of their shingles instead,
 since two bits catch few of the similar documents.  Candidates share one of the
-``CELLS`` smallest hashes of their shingles, which two sets of a similarity of 0.8
-miss with a chance of 0.2 ** CELLS; sizes and then the whole sets decide (SimHashes within
+smallest hashes of their shingles, of which a set has as many as ``first_hashes`` says:
+similar sets always share one.  Sizes and then the whole sets decide (SimHashes within
 ``max_bits`` too if that is less than 64: repeated words move them while the sets stay alike).
 """
 
 from __future__ import annotations
 
 from itertools import combinations, islice, repeat
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,6 @@ from xxhash import xxh64_intdigest
 from parhelion.llm.shared import Scratch, connected_components, groups_by_cells
 
 _BLOCK = 1 << 16
-#: Smallest shingle hashes that are cells of a document.
-CELLS = 8
 _EVEN = "6148914691236517205L"  # 0x5555555555555555, the even bits
 
 
@@ -159,7 +158,16 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def sketches(rows: DataFrame, shingle: int) -> DataFrame:
+def first_hashes(n: int, similarity: float) -> int:
+    """How many of the smallest of n hashes are cells.
+
+    Similar sets share ``similarity`` * n hashes at least, so the smallest that they share
+    has at most the others before it.
+    """
+    return n - ceil(similarity * n - 1e-9) + 1
+
+
+def sketches(rows: DataFrame, shingle: int, similarity: float = 0.8) -> DataFrame:
     """id, h, key (a hash of the shingle set), n (its size), fp (SimHash), cells (its smallest hashes) of rows (id, h, text)."""
 
     def run(batches):
@@ -171,7 +179,7 @@ def sketches(rows: DataFrame, shingle: int) -> DataFrame:
                 keys.append(xxh64_intdigest(s.tobytes(), 42))
                 sizes.append(len(s))
                 prints.append(_majority(hashes))
-                cells.append(s[:CELLS].view(np.int64))
+                cells.append(s[: first_hashes(len(s), similarity)].view(np.int64))
             key = pa.array(np.array(keys, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), key, pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], names=["id", "h", "key", "n", "fp", "cells"])
 
@@ -256,14 +264,13 @@ def similar_sets(rows: DataFrame, prints: DataFrame, scratch: Scratch, shingle:
 def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, one row of each group of similar documents: its smallest doc_id.
 
-    Documents link when they share one of their CELLS smallest shingle hashes, their
-    SimHashes differ in at most max_bits (64: any) and the Jaccard similarity of their distinct word
-    shingles is at least ``similarity``; texts without words are alike.  If the smallest id has several rows in
+    Documents link when their SimHashes differ in at most max_bits (64: any) and the Jaccard
+    similarity of their distinct word shingles is at least ``similarity``; texts without words are alike.  If the smallest id has several rows in
     the group, one of them stays.  Without any id in a group, one of its rows stays.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    prints = scratch.save(sketches(rows, shingle))
+    prints = scratch.save(sketches(rows, shingle, similarity))
     found = similar_sets(rows, prints, scratch, shingle, similarity, max_bits).withColumnRenamed("node", "key")
     counted = prints.select("id", "h", "key").join(found, "key", "left").groupBy(F.coalesce("component", "key").alias("group"), "id", "h").count()
     chosen = counted.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "count")).alias("x"))

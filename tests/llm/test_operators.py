@@ -428,6 +428,13 @@ def test_similar_documents_brute_force(spark):
     assert neardup.keep_one_similar(docs_of(spark, [])).count() == 0
 
 
+def test_similar_documents_with_other_smallest_hashes(spark):
+    """Sets of a similarity of 100/120 whose ten smallest hashes are all different."""
+    words = sorted((f"w{i}" for i in range(120)), key=lambda w: neardup.xxh64_intdigest(w.encode(), 42))
+    texts = [" ".join(words[:10] + words[20:]), " ".join(words[10:]), " ".join(words[:60])]
+    assert [r.doc_id for r in neardup.keep_one_similar(docs_of(spark, texts), shingle=1).orderBy("doc_id").collect()] == [0, 2]
+
+
 def test_similar_documents_of_one_cell_are_all_compared(spark):
     rng = random.Random(3)
     texts = []
