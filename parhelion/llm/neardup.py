@@ -20,6 +20,7 @@ similar sets always share one.  Sizes and then the whole sets decide (SimHashes
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, islice, repeat
 from math import ceil
 
@@ -214,17 +215,32 @@ def may_overlap(a: str, b: str, need: str) -> str:
     return f"(size({a}.bits) not between size({b}.bits) div 2 and size({b}.bits) * 2 or {apart(a, b)} and {apart(b, a)})"
 
 
-def pairs_by_rare_shingles(things: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+#: Hashes are counted in so many passes, 1 << RANGES, each with its own range of them, so that the disk holds a part of them at a time.
+RANGES = 2
+
+
+def repeated_shingles(whole: DataFrame, scratch: Scratch) -> DataFrame:
+    """k, x, f: the hashes x that f > 1 of the sets whole (key, s) have, each with its sets."""
+    parts = []
+    for i in range(1 << RANGES):
+        # dealt once, for the count and the join
+        hashes = whole.select(F.col("key").alias("k"), F.explode("s").alias("x")).filter(f"shiftrightunsigned(x, {64 - RANGES}) = {i}").repartition("x")
+        parts.append(scratch.save(hashes.join(hashes.groupBy("x").agg(F.count("*").alias("f")).filter("f > 1"), "x").select("k", "x", "f")))
+        scratch.release()
+    return reduce(DataFrame.union, parts)
+
+
+def pairs_by_rare_shingles(things: DataFrame, whole: DataFrame, similarity: float, scratch: Scratch | None = None) -> DataFrame:
     """a, b: pairs of things (k, c) of different c, among them all with a Jaccard similarity of ``similarity``.
 
-    A set's hashes are ranked by the number of things that have them, the rarest first.  From
+    A set's hashes are ranked by the number of sets of whole that have them, the rarest first.  From
     the first hash on that two similar sets share, each has as many as they share at least,
-    so it is one of the first (1 - similarity) * n + 1; hashes of one thing only are ranked
+    so it is one of the first (1 - similarity) * n + 1; hashes of one set only are ranked
     and not joined.  The work grows with the sizes of the sets, not with the square of a group.
     """
     least = f"ceil({similarity!r}D * n - 1e-9)"
-    hashes = things.join(whole.select(F.col("key").alias("k"), "n", "s"), "k").select("k", "c", "n", F.explode("s").alias("x"))
-    known = hashes.join(hashes.groupBy("x").agg(F.count("*").alias("f")).filter("f > 1"), "x")
+    sizes = things.join(whole.select(F.col("key").alias("k"), "n"), "k").select("k", "c", "n")
+    known = repeated_shingles(whole, scratch or Scratch(whole.sparkSession, "rare")).join(sizes, "k")
     ranked = known.groupBy("k", "c", "n").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("r"))
     first = ranked.select("k", "c", "n", F.expr("n - size(r)").alias("alone"), F.posexplode(F.expr(f"slice(r, 1, cast(greatest(0, size(r) + 1 - {least}) as int))")).alias("i", "e"))
     first = first.select("k", "c", "n", F.col("e.x").alias("x"), F.expr("n - alone - i").alias("left"))
@@ -233,26 +249,34 @@ def pairs_by_rare_shingles(things: DataFrame, whole: DataFrame, similarity: floa
     return pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"))
 
 
-def similar_sets(rows: DataFrame, prints: DataFrame, scratch: Scratch, shingle: int, similarity: float, max_bits: int) -> DataFrame:
-    """node, component of the keys of prints (``sketches`` of rows) linked by a Jaccard similarity of at least ``similarity``."""
+def similar_sets(rows: DataFrame, prints: DataFrame, scratch: Scratch, shingle: int, similarity: float, max_bits: int, last: bool = False) -> DataFrame:
+    """node, component of the keys of prints (``sketches`` of rows) linked by a Jaccard similarity of at least ``similarity``.
+
+    prints is deleted as soon as its cells are read, if this is the ``last`` use of it.
+    """
     need = lambda a, b: f"{similarity / (1 + similarity)!r}D * ({a} + {b}) - 1e-9"
     keys = prints.select(F.col("key").alias("k"), "h", "n", "fp", "cells")
 
     def prepare(asked: DataFrame):
-        signs = scratch.save(keys.join(asked, "k").groupBy("k").agg(F.min("h").alias("h"), F.max("n").alias("n"), F.max("fp").alias("fp")))
-        whole = scratch.save(whole_sets(rows.join(signs.select("h"), "h", "left_semi"), shingle).dropDuplicates(["key"]))
+        signs = scratch.save(keys.drop("cells").join(asked, "k").groupBy("k").agg(F.min("h").alias("h"), F.max("n").alias("n"), F.max("fp").alias("fp")))
+        if last:
+            scratch.drop(prints)
+        # a key has one h here, whose texts meet in the join, so no set is sent to remove repeats
+        whole = scratch.save(whole_sets(rows.join(signs.select("h"), "h", "left_semi").dropDuplicates(["h"]), shingle))
         scratch.release()
-        sa, sb = (whole.select(F.col("key").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
         ba, bb = (whole.select(F.col("key").alias(x), F.struct("n", "bits").alias(f"b{x}")) for x in "ab")
 
         def alike(pairs: DataFrame, likely: bool) -> DataFrame:
             # the bitmaps, an eighth to a quarter of the sets, leave few pairs that are not similar
             few = scratch.save(pairs.join(ba, "a").join(bb, "b").filter(may_overlap("ba", "bb", need("ba.n", "bb.n"))).select("a", "b"))
+            sets = scratch.save(whole.select("key", "s").join(few.select(F.explode(F.array("a", "b")).alias("key")), "key", "left_semi"))
+            scratch.release()
+            sa, sb = (sets.select(F.col("key").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
             return few.join(sa, "a").join(sb, "b").filter(f"size(array_intersect(sa, sb)) >= {need('size(sa)', 'size(sb)')}").select("a", "b")
 
         def rare(things: DataFrame) -> DataFrame:
             # the SimHashes of these pairs are compared as those of others
-            pairs, (fa, fb) = pairs_by_rare_shingles(things, whole, similarity), (signs.select(F.col("k").alias(x), F.struct("n", "fp").alias(f"f{x}")) for x in "ab")
+            pairs, (fa, fb) = pairs_by_rare_shingles(things, whole, similarity, scratch), (signs.select(F.col("k").alias(x), F.struct("n", "fp").alias(f"f{x}")) for x in "ab")
             return pairs if max_bits >= 64 else pairs.join(fa, "a").join(fb, "b").filter(near("fa", "fb")).select("a", "b")
 
         near = lambda a, b: f"least({a}.n, {b}.n) >= {need(f'{a}.n', f'{b}.n')} and bit_count({a}.fp ^ {b}.fp) <= {max_bits}"
@@ -271,10 +295,13 @@ def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     scratch = Scratch(docs.sparkSession, "similar")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     prints = scratch.save(sketches(rows, shingle, similarity))
-    found = similar_sets(rows, prints, scratch, shingle, similarity, max_bits).withColumnRenamed("node", "key")
-    counted = prints.select("id", "h", "key").join(found, "key", "left").groupBy(F.coalesce("component", "key").alias("group"), "id", "h").count()
+    own = scratch.save(prints.select("id", "h", "key"))
+    found = similar_sets(rows, prints, scratch, shingle, similarity, max_bits, last=True).withColumnRenamed("node", "key")
+    counted = own.join(found, "key", "left").groupBy(F.coalesce("component", "key").alias("group"), "id", "h").count()
     chosen = counted.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "count")).alias("x"))
     chosen = scratch.save(chosen.select(F.col("x.id").alias("_id"), F.col("x.h").alias("_kh"), F.col("x.count").alias("_c")))
+    scratch.drop_since(0, chosen)
+    scratch.release()
     # the caller's columns stand in a struct, where no name of ours meets them
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
     on = lambda x: marked["id"].eqNullSafe(x["_id"]) & (marked["h"] == x["_kh"])

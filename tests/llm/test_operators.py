@@ -479,6 +479,22 @@ def test_similar_documents_of_a_crowded_cell(spark):
     assert {r.node: r.component for r in out} == {k: g for k, g in groups.items() if any(k in x for x in links)}
 
 
+def test_repeated_shingles_and_what_is_left_on_disk(spark, tmp_path, monkeypatch):
+    """Hashes counted range by range; a stage leaves the one table that its result reads."""
+    rng = random.Random(31)
+    sets = {k: sorted(rng.sample(range(-(2**63), 2**63, 2**56), 40)) for k in range(30)}
+    count = Counter(x for s in sets.values() for x in s)
+    got = neardup.repeated_shingles(spark.createDataFrame(list(sets.items()), "key long, s array<long>"), Scratch(spark, "t")).collect()
+    assert sorted((r.k, r.x, r.f) for r in got) == sorted((k, x, count[x]) for k, s in sets.items() for x in s if count[x] > 1)
+    monkeypatch.setattr("parhelion.llm.shared.checkpoint_root", lambda spark: f"file://{tmp_path}")
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=40)) for _ in range(20)]
+    docs = docs_of(spark, texts + [t + " q" for t in texts[:7]])
+    for stage, rows in ((neardup.keep_one_similar, 20), (line_dedup.dedup_lines, 27)):
+        before = set(tmp_path.glob("*/[0-9]*"))
+        out = stage(docs)
+        assert len(set(tmp_path.glob("*/[0-9]*")) - before) == 1 and out.count() == rows
+
+
 def test_bitmaps_pass_all_that_overlap(spark):
     rng = np.random.default_rng(4)
     pairs = []
