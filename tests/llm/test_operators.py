@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
+from parhelion.llm import shared
 from parhelion.llm import decontaminate, language, licenses, line_dedup, neardup, packing, secrets, sharding, topk, toxicity
 from parhelion.llm.shared import Scratch, connected_components, groups_by_cells, number_rows
 
@@ -133,6 +134,33 @@ def test_groups_by_cells_compares_inside(spark):
     assert {r.node: r.component for r in out.collect()} == want and len(written) == 2 and sum(written) <= 8 * len(cells)
 
 
+def test_groups_by_cells_meets_only_parts_in_reach(spark, monkeypatch):
+    """Ordered things of one crowded cell: all links are found, and a thing is sent to the parts in reach, not to all."""
+    rng, sent, old = random.Random(6), [], shared.met_inside
+    number = {k: rng.randrange(3000) for k in rng.sample(range(10**6), 2000)}
+    asked = spark.createDataFrame(list(number.items()), "k long, v long")
+
+    def prepare(ks):
+        a, b = (asked.select(F.col("k").alias(x), F.col("v").alias(f"v{x}")) for x in "ab")
+        alike = lambda pairs, likely: pairs.join(a, "a").join(b, "b").filter("abs(va - vb) = 3").select("a", "b")
+        inside = asked.select("k", F.struct("v").alias("t")), lambda x, y: f"abs({x}.v - {y}.v) = 3", lambda s: f"double({s}.v)", 3.5
+        return asked.join(ks, "k").select("k", F.struct("v").alias("s")), lambda x, y: f"abs({x}.v - {y}.v) <= 3", alike, None, inside
+
+    def met_inside(parts, *rest):
+        sent.append(parts.agg(F.expr("sum(high - low + 1)")).first()[0])
+        return old(parts, *rest)
+
+    monkeypatch.setattr(shared, "met_inside", met_inside)
+    out = groups_by_cells(asked.select("k", F.lit(1).cast("long").alias("cell")), prepare, Scratch(spark, "t"))
+    at = defaultdict(list)
+    for k, v in number.items():
+        at[v].append(k)
+    links = {(a, b) for v in at for a in at[v] for b in at.get(v + 3, [])}
+    want = {k: g for k, g in union_find(links, sorted(number)).items() if any(k in x for x in links)}
+    assert {r.node: r.component for r in out.collect()} == want
+    assert sent and max(sent) < 2 * len(number)  # 16 parts each before
+
+
 # 1 lines
 def words_of(line):
     return re.findall(r"[^\W_]+", line.lower())
