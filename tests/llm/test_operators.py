@@ -60,6 +60,27 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
+def test_components_of_stars_take_no_round(spark):
+    scratch = Scratch(spark, "t")
+    stars = [(10 * (i % 7), 1000 + i) for i in range(70)]
+    got = dict(connected_components(spark.createDataFrame(stars, "a long, b long"), scratch).collect())
+    assert got == union_find(stars, {x for e in stars for x in e}) and scratch.count == 1
+
+
+def test_links_of_groups_join_them_as_single_nodes(spark, monkeypatch):
+    """Links of later rounds: groups and links together give the components of all links, and only ends of links are dealt anew."""
+    rng, dealt, old = np.random.default_rng(8), [], shared.connected_components
+    first = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2)) if a != b]
+    later = [(int(a), int(b)) for a, b in rng.integers(300, 500, (25, 2)) if a != b]
+    groups = union_find(first, {x for e in first for x in e})
+    monkeypatch.setattr(shared, "connected_components", lambda edges, scratch: dealt.append(edges.collect()) or old(edges, scratch))
+    known = spark.createDataFrame(list(groups.items()), "node long, component long")
+    got = shared.merged_groups(known, spark.createDataFrame(later, "a long, b long"), Scratch(spark, "t")).collect()
+    want = union_find(first + later, {x for e in first + later for x in e})
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    assert len(dealt[0]) == len(later) and {groups.get(x, x) for e in later for x in e} == {x for e in dealt[0] for x in e}
+
+
 def test_row_numbers(spark):
     rows = spark.createDataFrame([(5 if i % 3 else i, i % 4 + 1) for i in range(300)] + [(None, 2)] * 5, "k int, w int")
     got = number_rows(rows, ["k"], Scratch(spark, "t")).collect()
